@@ -70,7 +70,11 @@ def projected(df: DataFrame, **columns: str | None) -> DataFrame:
     return df.select(*(col(c).alias(k) for k, c in columns.items() if c is not None))
 
 
-def small(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether the optimizer's size of the plan is at most the limit."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
+SENT_BYTES = 32 << 20
+
+
+def lookup_side(df: DataFrame, limit_bytes: int = SENT_BYTES) -> DataFrame:
+    """The smaller side of a join: sent to all executors if its files are small enough, else hashed and
+    shuffled like the other side."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size * 3 <= limit_bytes else df.hint("shuffle_hash")

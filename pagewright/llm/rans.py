@@ -131,6 +131,8 @@ class Codec:
                 x = self.freq[s] * (x >> precision) + low - self.start[s]
                 need = np.nonzero(x < LOW)[0]
                 if len(need):
+                    if at + len(need) > len(words):
+                        raise ValueError(f"segment {g} ends early and can't agree with its checksum")
                     x[need] = (x[need] << np.uint32(16)) | words[at : at + len(need)]
                     at += len(need)
                 states[:k] = x

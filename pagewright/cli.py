@@ -17,7 +17,7 @@ from .sources.config import Config
 from .sources.files import expand_inputs
 from .sources.readers import read_documents
 
-_SERVICE = ("device", "model_dir", "download_dir", "api_url", "api_host", "api_port", "api_command", "api_start_timeout", "model_policy", "model_source", "auto_install_runtime", "runtime_package")
+_SERVICE = ("api_command", "api_host", "api_port", "api_start_timeout", "api_url", "auto_install_runtime", "device", "download_dir", "model_dir", "model_policy", "model_source", "runtime_package")
 
 
 def build_parser() -> argparse.ArgumentParser:

@@ -11,11 +11,9 @@ from typing import Any
 
 PREFIX = "PAGEWRIGHT_"
 FILE = Path.home() / ".pagewright" / "config.json"
-_SERVICE = {
-    "device": "auto", "model_dir": None, "download_dir": None, "enable_ocr": True, "api_url": None, "api_host": "127.0.0.1", "api_port": 8000,
-    "api_command": "mineru-api", "api_start_timeout": 30.0, "request_timeout": 300.0, "model_policy": "download_if_missing", "model_source": None,
-    "auto_install_runtime": False, "runtime_package": "mineru[all]", "extra_options": {},
-}
+_SERVICE: dict[str, Any] = dict.fromkeys(("api_url", "download_dir", "model_dir", "model_source"))
+_SERVICE |= dict(api_command="mineru-api", api_host="127.0.0.1", api_port=8000, api_start_timeout=30.0, auto_install_runtime=False)
+_SERVICE |= dict(device="auto", enable_ocr=True, extra_options={}, model_policy="download_if_missing", request_timeout=300.0, runtime_package="mineru[all]")
 DEFAULTS: dict[str, Any] = {"default_pdf_engine": "simple", "engines": {"mineru": _SERVICE, "vision_llm": {"provider": "openai", "model": "gpt-4o", "api_key": None}}}
 #: Environment names to dotted keys. The service's time limit for a request and its extra options have none.
 ENVIRONMENT = {PREFIX + "DEFAULT_PDF_ENGINE": "default_pdf_engine"} | {

@@ -20,34 +20,39 @@ from .sources.readers import read_documents
 _SERVICE = ("api_command", "api_host", "api_port", "api_start_timeout", "api_url", "auto_install_runtime", "device", "download_dir", "model_dir", "model_policy", "model_source", "runtime_package")
 
 
+_POLICIES = ("require_existing", "download_if_missing")
+
+
+def _flags(command: argparse.ArgumentParser, *names: str) -> None:
+    for name in names:
+        command.add_argument(f"--{name}", action="store_true")
+
+
 def build_parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pagewright")
     commands = top.add_subparsers(dest="command", required=True)
     p = commands.add_parser("parse")
     p.add_argument("inputs", nargs="+")
-    for flag in ("batch", "skip-existing", "metrics", "auto-install-runtime"):
-        p.add_argument(f"--{flag}", action="store_true")
+    _flags(p, "batch", "skip-existing", "metrics", "auto-install-runtime")
     for option in ("engine", "device", "model-dir", "download-dir", "api-url", "api-host", "api-command", "model-source", "runtime-package", "output", "output-dir"):
         p.add_argument(f"--{option}")
-    p.add_argument("--api-port", type=int)
-    p.add_argument("--api-start-timeout", type=float)
-    p.add_argument("--model-policy", choices=["download_if_missing", "require_existing"])
+    for number, kind in {"max-workers": int, "api-start-timeout": float, "api-port": int}.items():
+        p.add_argument(f"--{number}", type=kind)
+    p.add_argument("--model-policy", choices=_POLICIES)
     p.add_argument("--format", default="markdown")
-    p.add_argument("--max-workers", type=int)
     b = commands.add_parser("benchmark")
     b.add_argument("manifest")
-    b.add_argument("--output-dir", default="reports")
-    b.add_argument("--format", default="json")
-    b.add_argument("--max-workers", type=int, default=1)
-    b.add_argument("--auto-install-runtime", action="store_true")
+    _flags(b, "auto-install-runtime")
+    for option, default in {"max-workers": 1, "format": "json", "output-dir": "reports"}.items():
+        b.add_argument(f"--{option}", default=default, type=type(default))
     for option in ("engine", "api-url", "device", "model-dir", "download-dir", "runtime-package"):
         b.add_argument(f"--{option}")
     return top
 
 
-def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
-    parser = build_parser()
-    args = parser.parse_args(argv)
+def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
+    top = build_parser()
+    args = top.parse_args(arguments)
     config = Config()
     engine = args.engine or config.get("default_pdf_engine")
     config.engine(engine, **{k: getattr(args, k, None) for k in _SERVICE})  # settings of engines that are services are resolved, though none is part of this library
@@ -58,12 +63,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         print(json.dumps(summary, ensure_ascii=False, indent=2, default=str))
         return 0
     if args.batch and (args.metrics or args.skip_existing or args.max_workers):
-        _, summary = run_batch(spark, args.inputs, args.output_dir or "outputs", engine, args.format, args.skip_existing)
+        _, summary = run_batch(spark, args.inputs, args.output_dir or "outputs", engine, args.format, skip_existing=args.skip_existing)
         print(json.dumps(summary, ensure_ascii=False, indent=2, default=str))
         return 0
     sources = expand_inputs(args.inputs)
     if not args.batch and len(sources) != 1:
-        parser.error("parse takes one input unless --batch is given")
+        top.error("parse takes one input unless --batch is given")
     docs = sinks.rendered(read_documents(spark, sources, engine), args.format)
     rows = {r.source: r for r in docs.select("source", "output", "error_class", "error_message").collect()} if not args.batch else {}
     if args.batch:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 FAMILIES = {".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".xlsx": "excel", ".xls": "excel", ".csv": "csv", ".md": "text", ".txt": "text"}
 
+#: An output's ending by format; any other's is .json.
+ENDINGS = {"markdown": ".md"}
+
 
 def name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)\z", 1)
@@ -35,14 +38,14 @@ def family(path: Column) -> Column:
 
 
 def output_name(path: Column, fmt: str) -> Column:
-    return F.concat(stem(path), F.lit(".md" if fmt == "markdown" else ".json"))
+    return F.concat(stem(path), F.lit(ENDINGS.get(fmt, ".json")))
 
 
 def distinct_outputs(paths: Iterable[str], fmt: str = "markdown") -> list[str]:
     """An output for each path in turn, none taken twice. The bare name is tried first for an absolute path and last for a
     relative one; between, as many parent folders as tell it apart; then a number. Each choice
     depends on all before it, hence a loop over the list of paths, on the driver."""
-    ending, taken, out = ".md" if fmt == "markdown" else ".json", set(), []
+    ending, taken, out = ENDINGS.get(fmt, ".json"), set(), []
     for p in map(PurePosixPath, paths):
         target = p.stem + ending
         parents = [x for x in p.parts[:-1] if x not in ("/", ".", "..")]

@@ -23,7 +23,7 @@ ITEM_COLUMNS = ("source", "status", "output_path", "metrics", "error_type", "err
 
 
 def run_batch(
-    spark: SparkSession, inputs, output_dir: str, engine: str = "simple", fmt: str = "markdown", skip_existing: bool = False, fail_fast: bool = False, collect_metrics: bool = True,
+    spark: SparkSession, inputs, output_dir: str, engine: str = "simple", fmt: str = "markdown", collect_metrics: bool = True, *, fail_fast: bool = False, skip_existing: bool = False,
 ) -> tuple[DataFrame, dict]:
     """Items in order of source, and the summary; both are also written to output_dir. Each file's output is named by its
     stem, so that equal stems overwrite each other. A file that can't be read or written is a failed item, or with

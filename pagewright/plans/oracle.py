@@ -16,7 +16,7 @@ docs AS (
 )"""
 
 _CHUNKS = r""",
-split AS (SELECT doc_id, string_split(regexp_replace(content, '(?m)^(#{1,6})\s+(.+)$', chr(57344) || '\0', 'g'), chr(57344)) AS parts FROM docs),
+split AS (SELECT doc_id, string_split(regexp_replace(content, '(?m)^(##{0,5})\s+([^\n]+)$', chr(57344) || '\0', 'g'), chr(57344)) AS parts FROM docs),
 sections AS (
   SELECT doc_id, unnest(generate_series(1, len(parts))) - 1 AS sec, unnest(parts) AS raw, len(parts) AS n FROM split
 ),
@@ -24,7 +24,7 @@ parsed AS (
   SELECT doc_id, sec, raw, n,
          CASE WHEN sec = 0 THEN 0 ELSE length(regexp_extract(raw, '^(#{1,6})\s', 1)) END AS lvl,
          CASE WHEN sec = 0 THEN NULL ELSE trim(regexp_extract(raw, '^#{1,6}\s+([^\n]+)', 1), ' ' || chr(9) || chr(10) || chr(13)) END AS title,
-         regexp_extract_all(raw, '<!--\s*page_number:\s*(\d+)\s*-->', 1)::int[] AS marks
+         regexp_extract_all(raw, '<!--[\s]*page_number:[\s]*([0-9]+)[\s]*-->', 1)::int[] AS marks
   FROM sections
 ),
 placed AS (
@@ -38,7 +38,7 @@ paths AS (
 ),
 chunks AS (
   SELECT p.doc_id, (row_number() OVER (PARTITION BY p.doc_id ORDER BY p.sec) - 1)::int AS chunk_index,
-         trim(regexp_replace(raw, '<!--\s*page_number:\s*\d+\s*-->', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS content,
+         trim(regexp_replace(raw, '<!--[\s]*page_number:[\s]*[0-9]+[\s]*-->', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS content,
          title AS header, lvl::int AS header_level, coalesce(path, '') AS header_path,
          list_sort(list_distinct(list_prepend(page, marks))) AS page_list
   FROM placed p LEFT JOIN paths q ON q.doc_id = p.doc_id AND q.sec = p.sec
@@ -56,7 +56,7 @@ made AS (
 ),
 counted AS (
   SELECT doc_id, content, len(list_filter(regexp_split_to_array(content, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E]|\x{85}|\x{2028}|\x{2029}'),
-         lambda x: regexp_matches(x, '^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$'))) AS table_count
+         lambda x: regexp_matches(x, '^[\s]*[|]?[\s]*:?---+:?[\s]*([|][\s]*:?---+:?[\s]*)+[|]?[\s]*$'))) AS table_count
   FROM made
 )"""
 

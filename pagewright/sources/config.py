@@ -12,14 +12,15 @@ from typing import Any
 PREFIX = "PAGEWRIGHT_"
 FILE = Path.home() / ".pagewright" / "config.json"
 _SERVICE: dict[str, Any] = dict.fromkeys(("api_url", "download_dir", "model_dir", "model_source"))
-_SERVICE |= dict(api_command="mineru-api", api_host="127.0.0.1", api_port=8000, api_start_timeout=30.0, auto_install_runtime=False)
+_SERVICE |= dict(api_port=8000, api_command="mineru-api", auto_install_runtime=False, api_start_timeout=30.0, api_host="127.0.0.1")
 _SERVICE |= dict(device="auto", enable_ocr=True, extra_options={}, model_policy="download_if_missing", request_timeout=300.0, runtime_package="mineru[all]")
-DEFAULTS: dict[str, Any] = {"default_pdf_engine": "simple", "engines": {"mineru": _SERVICE, "vision_llm": {"provider": "openai", "model": "gpt-4o", "api_key": None}}}
+_VISION = dict(api_key=None, model="gpt-4o", provider="openai")
+DEFAULTS: dict[str, Any] = dict(engines=dict(mineru=_SERVICE, vision_llm=_VISION), default_pdf_engine="simple")
 #: Environment names to dotted keys. The service's time limit for a request and its extra options have none.
 ENVIRONMENT = {PREFIX + "DEFAULT_PDF_ENGINE": "default_pdf_engine"} | {
     f"{PREFIX}MINERU_{k.upper()}": f"engines.mineru.{k}" for k in _SERVICE if k not in ("request_timeout", "extra_options")
 }
-_YES, _NO = {"true", "1", "yes", "on"}, {"false", "0", "no", "off"}
+_YES, _NO = set("on yes 1 true".split()), set("off no 0 false".split())
 
 
 def merged(base: dict, update: dict) -> dict:
@@ -58,11 +59,11 @@ class Config:
             if name in env:
                 self.set(key, from_text(env[name], self.get(key)))
 
-    def get(self, key: str, default: Any = None) -> Any:
+    def get(self, key: str, otherwise: Any = None) -> Any:
         at: Any = self.values
         for part in key.split("."):
             if not isinstance(at, dict) or part not in at:
-                return default
+                return otherwise
             at = at[part]
         return at
 

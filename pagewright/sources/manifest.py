@@ -18,7 +18,8 @@ SAMPLE = T.StructType([
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A row for each sample, its checks as a struct; keys that aren't known are left out."""
     payload = json.loads(spark.sparkContext.wholeTextFiles(path).values().first())
-    if not isinstance(payload, dict) or not isinstance(payload.get("samples"), list):
+    samples = payload.get("samples") if isinstance(payload, dict) else None
+    if not isinstance(samples, list):
         raise ValueError("A benchmark manifest is a JSON object that holds a samples list.")
-    lines = [(json.dumps(s),) for s in payload["samples"]]
+    lines = [(json.dumps(s),) for s in samples]
     return spark.createDataFrame(lines, "j string").selectExpr(f"from_json(j, '{SAMPLE.simpleString()}') AS s").select("s.*")

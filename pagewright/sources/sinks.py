@@ -17,7 +17,7 @@ def rendered(docs: DataFrame, fmt: str = "markdown") -> DataFrame:
         return docs.withColumn("output", F.coalesce("markdown_content", F.lit("")))
     if fmt == "json":
         return docs.withColumn("output", F.to_json(F.struct(*docs.columns), {"pretty": "true", "ignoreNullFields": "false"}))
-    raise ValueError(f"Unsupported output format: {fmt}")
+    raise ValueError("Unsupported output format: " + fmt)
 
 
 def write_documents(docs: DataFrame, folder: str, name: str = "output_path", text: str = "output") -> DataFrame:

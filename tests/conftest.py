@@ -1,8 +1,9 @@
 import os
 import sys
 import tempfile
+from pathlib import Path
 
-HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+HERE = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
 

@@ -2,8 +2,8 @@
 
 import re
 
-MARK = re.compile(r"<!--\s*page_number:\s*(\d+)\s*-->")
-HEAD = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
+MARK = re.compile(r"<!--[\s]*page_number:[\s]*(\d+)[\s]*-->")
+HEAD = re.compile(r"^(##{0,5})\s+(.+)$", re.M)
 
 
 def chunks(text):

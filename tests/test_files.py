@@ -39,7 +39,7 @@ def sheet(rows):
 XLSX = packed({
     "xl/workbook.xml": f'<workbook {S} {R}><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/><sheet name="Sheet2" sheetId="2" r:id="r2"/></sheets></workbook>',
     "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
-    "xl/worksheets/sheet1.xml": sheet([["A", "B"], [1, 3], [2, 4]]),
+    "xl/worksheets/sheet1.xml": sheet([["P", "Q"], [1, 3], [2, 4]]),
     "xl/worksheets/sheet2.xml": sheet([["C", "D"], [5, 7], [6, 8]]),
 })
 
@@ -62,10 +62,10 @@ def folder(tmp_path):
 def test_readers(spark, folder):
     got = {r.filename: r for r in pagewright.read_documents(spark, [str(f) for f in sorted(folder.iterdir())]).collect()}
     assert got["a.md"].content == "# Title\nText\nmore"
-    assert got["b.docx"].content == "\n<!-- page_number: 1 -->\n\n# Test Document\n\nParagraph 1\n\n| Header1 | Header2 |\n| --- | --- |\n| Val1 | Val2 |\n"
+    assert got["b.docx"].content == "\n".join(["", "<!-- page_number: 1 -->", "", "# Test Document", "", "Paragraph 1", "", "| Header1 | Header2 |", "| --- | --- |", "| Val1 | Val2 |", ""])
     c = got["c.XLSX"].content
-    assert "### Sheet: Sheet1\n\n| A | B |\n| --- | --- |\n| 1 | 3 |\n| 2 | 4 |" in c and "<!-- page_number: 2 -->\n\n### Sheet: Sheet2" in c
-    assert got["d.csv"].content.endswith("| x | y |\n| --- | --- |\n| 1 | é |\n| 2 | nan |")
+    assert "\n".join(["### Sheet: Sheet1", "", "| P | Q |", "| --- | --- |", "| 1 | 3 |", "| 2 | 4 |"]) in c and "<!-- page_number: 2 -->\n\n### Sheet: Sheet2" in c
+    assert got["d.csv"].content.endswith("\n".join(["| x | y |", "| --- | --- |", "| 1 | é |", "| 2 | nan |"]))
     assert (got["e.html"].error_class, got["e.html"].error_message) == ("ValueError", "Unsupported file extension: .html")
     assert got["f.docx"].error_class == "BadZipFile" and got["g.txt"].error_class == "UnicodeDecodeError" and got["h.pdf"].error_class in ("ImportError", "PdfminerException")
 
@@ -99,7 +99,8 @@ def test_batch(spark, folder, tmp_path):
 
 def test_benchmark(spark, folder, tmp_path):
     manifest = tmp_path / "m.json"
-    manifest.write_text(json.dumps({"samples": [{"id": "s", "path": str(folder / "b.docx"), "checks": {"min_tables": 1, "min_pages": 2, "unknown": 1}}, {"id": "t", "path": str(folder / "e.html")}]}))
+    listed = [{"id": "s", "path": str(folder / "b.docx"), "checks": {"min_tables": 1, "min_pages": 2, "unknown": 1}}, {"id": "t", "path": str(folder / "e.html")}]
+    manifest.write_text(json.dumps(dict(samples=listed)))
     results, summary = pagewright.run_benchmark(spark, str(manifest), str(tmp_path / "r"))
     rows = {r.id: r for r in results.collect()}
     assert rows["s"].quality.failures == ["min_pages"] and rows["t"].quality is None and rows["t"].status == "failed"
@@ -112,7 +113,7 @@ def test_benchmark(spark, folder, tmp_path):
 def test_command_line(spark, folder, tmp_path, capsys):
     assert main(["parse", str(folder / "a.md")], spark) == 0
     assert capsys.readouterr().out == "# Title\nText\nmore\n"
-    assert main(["parse", str(folder / "b.docx"), "--format", "json", "--output", str(tmp_path / "x.json")], spark) == 0
+    assert main(["parse", str(folder / "b.docx"), "--output", str(tmp_path / "x.json"), "--format", "json"], spark) == 0
     assert json.loads((tmp_path / "x.json").read_text())["filename"] == "b.docx"
     assert main(["parse", str(folder / "e.html")], spark) == 1
     assert main(["parse", str(folder / "a.md"), str(folder / "b.docx"), "--batch", "--output-dir", str(tmp_path / "o")], spark) == 0
@@ -123,7 +124,8 @@ def test_command_line(spark, folder, tmp_path, capsys):
 
 def test_config(tmp_path):
     f = tmp_path / "c.json"
-    f.write_text('{"engines": {"mineru": {"api_port": 9000, "extra_options": {"a": 1}}}}')
+    service = dict(api_port=9000, extra_options={"a": 1})
+    f.write_text(json.dumps(dict(engines=dict(mineru=service))))
     c = Config(f, {"PAGEWRIGHT_MINERU_ENABLE_OCR": "off", "PAGEWRIGHT_MINERU_API_PORT": "9100", "PAGEWRIGHT_DEFAULT_PDF_ENGINE": "mineru"})
     e = c.engine(None, device="cpu", auto_install_runtime=False, extra_options={"b": 2})
     assert (e["enable_ocr"], e["api_port"], e["device"], e["extra_options"], e["auto_install_runtime"]) == (False, 9100, "cpu", {"a": 1, "b": 2}, False)

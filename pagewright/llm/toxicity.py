@@ -67,6 +67,17 @@ class _Scores(dict):
         return value
 
 
+class _Numbers(dict):
+    """The model's features of a token, worked out when it is first met."""
+
+    def __init__(self, number: dict[str, int]) -> None:
+        self.number = number
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        self[token] = value = tuple(self.number[f] for f in features(token) if f in self.number)
+        return value
+
+
 def located(text: str | None, scores: _Scores, bias: float) -> tuple[float, list[tuple[int, int, str, float]]]:
     """A document's probability, and (number, start, sentence, probability) of the sentences with features."""
     if not text:
@@ -86,7 +97,7 @@ def located(text: str | None, scores: _Scores, bias: float) -> tuple[float, list
     return float(1 - no), out
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4, least: int = 4, z_least: float = 3.5) -> ToxicityModel:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 5e-5, least: int = 4, z_least: float = 3.5) -> ToxicityModel:
     """Fit the weights, and on a fifth of the documents that is held out the threshold."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
@@ -94,11 +105,10 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.
     held = np.arange(len(texts)) % 5 == 4
     if not (toxic & held).any() or not (toxic & ~held).any() or (toxic | held).all() or (toxic | ~held).all():
         held[:] = False
-    bags = [[[f for w in s.split() for f in features(w)] for _, s in sentences(t.lower())] for t in texts]
     with_, without = Counter(), Counter()
-    for bag, y, h in zip(bags, toxic, held):
+    for t, y, h in zip(texts, toxic, held):
         if not h:
-            (with_ if y else without).update({f for s in bag for f in s})
+            (with_ if y else without).update({f for w in set(t.lower().split()) for f in features(w)})
     n1, n0 = int((toxic & ~held).sum()), int((~toxic & ~held).sum())
     chosen = []
     for f, a in with_.items():
@@ -111,12 +121,14 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.
     number = {f: i for i, f in enumerate(sorted(chosen))}
     if not number:
         return ToxicityModel({}, 0.0, 1.0)
+    del with_, without
+    numbers = _Numbers(number)
     feature, sentence, document = [], [], []
-    for d, bag in enumerate(bags):
+    for d, t in enumerate(texts):
         if held[d]:
             continue
-        for s in bag:
-            hits = [number[f] for f in s if f in number]
+        for _, s in sentences(t.lower()):
+            hits = [k for w in s.split() for k in numbers[w]]
             if hits:
                 feature += hits
                 sentence += [len(document)] * len(hits)

@@ -5,9 +5,11 @@ one group, those that stand alone are finished, and rows whose text ended within
 to each other. Windows grow eightfold from level to level, so that a long text needs few levels. No
 digest decides anything: groups are split by the bytes themselves.
 
-The first level counts windows only; the text moves but for rows whose window is shared. Rows that
-survive a level are written to the shared folder. The table of shared windows is sent to all executors
-while it is small (its size is checked), else both sides are shuffled, where skewed groups are split.
+A level counts windows first, added up where the rows lie; then the rows meet the shared windows in a
+hash join, whose skewed partitions can be split. Before the first level's join, a bitmap of fixed size (16 MB,
+sent to all executors) with a bit for each shared window leaves out most rows that stand alone, so that their texts
+never move; it proves nothing, and when the shared windows are many it only leaves out fewer. Rows that survive a level are
+written to the shared folder.
 
 Defined cases: rows with a null text are kept; empty texts are equal to each other; among equal texts
 the least id is kept, null ids come last, and of rows equal in text and id any one stays; extra columns
@@ -21,30 +23,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SENT_BYTES, col, fresh, lookup_side, materialise, projected
+from .common import col, fresh, materialise, projected
 
-FIRST_WINDOW, GROWTH = 64, 8
+FIRST_WINDOW, GROWTH, FILTER_BITS = 256, 8, 1 << 27
+_PAGE = 32_768  # bits of one bitmap
 
 
-def _levels(rows: DataFrame, text: Column, group: str, digit: str, sent_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def _maybe_shared(rows: DataFrame, digit: str, shared: DataFrame, flag: str) -> DataFrame:
+    """Marks rows whose window may be among the shared ones, by a bit for each of them in a filter of fixed size. A row that
+    isn't marked needs no join; one that is marked has yet to prove it."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    page, place, bits = f"{flag}p", F.pmod(bit(F.col(digit)), F.lit(_PAGE)).cast("int"), f"{flag}b"
+    pages = shared.select(bit(F.col("d0")).alias("b")).groupBy(F.expr(f"b div {_PAGE}").alias(page)).agg(F.bitmap_construct_agg(F.expr(f"b % {_PAGE}")).alias(bits))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.expr("1") + F.shiftright(place, 3), F.lit(1))), 16, 10).cast("int")
+    tagged = rows.withColumn(page, (bit(F.col(digit)) / _PAGE).cast("long")).join(F.broadcast(pages), page, "left")
+    return tagged.withColumn(flag, F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))).drop(page, bits)
+
+
+def _levels(rows: DataFrame, text: Column, group: str, digit: str) -> tuple[list[DataFrame], list[DataFrame]]:
     """The rows that are alone in their text, and those that aren't with their group's number; each as the
     tables of the levels."""
     raw = text.cast("binary")
     alone: list[DataFrame] = [rows.where(text.isNull()).drop(group)]
     equal: list[DataFrame] = []
     now = rows.where(text.isNotNull()).withColumn(group, F.lit(0).cast("long"))
+    g0, d0, g1 = f"{group}_0", f"{digit}_0", f"{group}_1"
     at, window = 1, FIRST_WINDOW
     while True:
         here = now.withColumn(digit, F.substring(raw, F.lit(at), F.lit(window)))
         shared = here.groupBy(group, digit).agg(F.count("*").alias("n")).where("n > 1")
-        shared = shared.select(F.col(group).alias("g0"), F.col(digit).alias("d0"), F.monotonically_increasing_id().alias("g1"))
+        shared = shared.select(F.col(group).alias(g0), F.col(digit).alias(d0), F.monotonically_increasing_id().alias(g1))
         shared, _ = materialise(shared, "radix-shared")  # written, so that the numbers stay
-        lookup = lookup_side(shared, sent_bytes)
-        match = (here[group] == shared["g0"]) & (here[digit] == shared["d0"])
+        lookup = shared.hint("shuffle_hash")
+        if at == 1:  # most rows of the whole table stand alone: they stay where they are
+            here = _maybe_shared(here, digit, shared.select(F.col(d0).alias("d0")), digit + "f")
+            alone.append(here.where(~F.col(digit + "f")).drop(group, digit, digit + "f"))
+            here = here.where(F.col(digit + "f")).drop(digit + "f")
+        match = (here[group] == shared[g0]) & (here[digit] == shared[d0])
         alone.append(here.join(lookup, match, "left_anti").drop(group, digit))
         if shared.isEmpty():
             return alone, equal
-        met = here.join(lookup, match).drop(group, "g0", "d0").withColumnRenamed("g1", group)
+        met = here.join(lookup, match).drop(group, g0, d0).withColumnRenamed(g1, group)
         met = met.withColumn(digit, F.length(digit) < window)
         met, _ = materialise(met, "radix-rows")
         equal.append(met.where(F.col(digit)).drop(digit))
@@ -57,10 +76,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept_id): every row whose text an other row that is kept has."""
     rows = projected(docs, id=id_col, text=text_col)
-    _, equal = _levels(rows, F.col("text"), "g", "d", sent_bytes)
+    _, equal = _levels(rows, F.col("text"), "g", "d")
     if not equal:
         return rows.where("false").select(F.col("id").alias(id_col), F.col("id").alias("kept_id"))
     numbered = _union([e.select("id", "g", F.lit(k).alias("level")) for k, e in enumerate(equal)])
@@ -70,10 +89,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return listed.select(F.col("id").alias(id_col), F.col("kept").alias("kept_id"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one of each text, all columns kept."""
     group, digit = fresh(docs.columns, "group"), fresh(docs.columns, "digit")
-    alone, equal = _levels(docs, col(text_col), group, digit, sent_bytes)
+    alone, equal = _levels(docs, col(text_col), group, digit)
     whole = F.struct(*(col(c) for c in docs.columns))
     order = F.struct(col(id_col).isNull(), col(id_col))
     for e in equal:

@@ -31,8 +31,6 @@ from pyspark.sql import types as T
 from .common import materialise, projected
 
 CODE_BITS, ROUNDS, BLOCK, DEVIATIONS = 256, 8, 16_384, 2.0
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_NEAR = _POP[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -80,35 +78,43 @@ def learn_rotations(vectors: DataFrame, d: int, code_bits: int = CODE_BITS, roun
     return mean, np.concatenate(turns, 1)[:, :code_bits]
 
 
-def probe(q_codes: np.ndarray, i_codes: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """Whether each item is found for each query by probing its bytes' indexes within its radius."""
-    m = q_codes.shape[1]
-    found = np.zeros((len(q_codes), len(i_codes)), bool)
-    floor, over = radius // m, radius % m
-    for j in range(m):
-        reach = floor - (j > over)
-        order = np.argsort(i_codes[:, j], kind="stable")  # the index: items by their byte's value
-        edges = np.searchsorted(i_codes[order, j], np.arange(257))
-        key = q_codes[:, j].astype(np.int64) * 1024 + np.clip(reach, -1, 8)
-        for k in np.unique(key):
-            value, r = divmod(int(k), 1024) if k % 1024 != 1023 else (int(k) // 1024 + 1, -1)
-            if r < 0:
-                continue
-            buckets = np.nonzero(_NEAR[value] <= r)[0]
-            items = np.concatenate([order[edges[b] : edges[b + 1]] for b in buckets])
-            row = np.zeros(len(i_codes), bool)
-            row[items] = True
-            found[key == k] |= row
-    return found
+class ByteIndexes:
+    """A block's items by the value of each byte of their codes, as bitmaps, and for each reach up to the
+    largest asked for the union of the buckets that lie within it of a value."""
+
+    def __init__(self, codes: np.ndarray, radius: int) -> None:
+        self.n, m = codes.shape
+        self.within = []
+        for j in range(m):
+            member = np.zeros((256, self.n), bool)
+            member[codes[:, j], np.arange(self.n)] = True
+            reach = min(radius // m - (j > radius % m), 8)
+            ball = [np.packbits(member, axis=1)] * (max(reach, 0) + 1)
+            for bit in range(8):  # each bit is turned once at most
+                turned = np.arange(256) ^ (1 << bit)
+                ball = [ball[0], *(ball[r] | ball[r - 1][turned] for r in range(1, len(ball)))]
+            self.within.append(ball)
+
+    def probe(self, codes: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Whether each item is found for each query by probing its bytes' indexes within its radius."""
+        m = codes.shape[1]
+        found = np.zeros((len(codes), -(-self.n // 8)), np.uint8)
+        for j in range(m):
+            reach = np.minimum(radius // m - (j > radius % m), 8)
+            for r in np.unique(reach[reach >= 0]):
+                q = np.nonzero(reach == r)[0]
+                found[q] |= self.within[j][r][codes[q, j]]
+        return np.unpackbits(found, axis=1, count=self.n).view(bool)
 
 
 def search(qx, qc, qn, radius, ix, ic, inum, k: int, step: int = 256):
     """The k best items within the radius for each query: places of queries and items, and cosines."""
     out_q, out_i, out_s = [], [], []
     iw = ic.view(np.uint64)
+    index = ByteIndexes(ic, int(radius.max()))
     for a in range(0, len(qx), step):
         c, r = qc[a : a + step], radius[a : a + step]
-        found = probe(c, ic, r)
+        found = index.probe(c, r)
         distance = np.zeros(found.shape, np.uint16)
         for w in range(iw.shape[1]):
             distance += np.bitwise_count(c.view(np.uint64)[:, w][:, None] ^ iw[:, w][None, :])

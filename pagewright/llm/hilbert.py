@@ -97,7 +97,8 @@ def shard(
     places = F.broadcast(spark.createDataFrame(table[weight > 0], f"{c} int, {h} long, {f} long, {n} long"))
     within = F.pmod(F.xxhash64(col(id_col)), F.col(n))
     out = tagged.join(places, F.col(key) == F.col(c)).select(*(col(x) for x in docs.columns), F.col(h).alias(names[0]), (F.col(f) + within).alias(names[1]))
-    return out.repartition(names[1]).sortWithinPartitions(names[1], names[0], col(id_col))
+    # a task for each shard: hashing the number would bring some together
+    return out.repartitionById(int((first + parts).max()), F.col(names[1]).cast("int")).sortWithinPartitions(names[1], names[0], col(id_col))
 
 
 def _runs(weight: np.ndarray, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:

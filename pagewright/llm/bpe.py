@@ -16,6 +16,7 @@ id stays null; repeated rows are encoded each; an empty table gives an empty tab
 from __future__ import annotations
 
 import base64
+import ctypes
 from collections import defaultdict
 from heapq import heappop, heappush
 
@@ -323,6 +324,17 @@ def _encoder(key: int, tokens: list[bytes]) -> Encoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Forget what a Python worker keeps from one task to the next for tokenising, and give the memory back: for
+    tasks of another kind that follow in the same worker."""
+    for kept in (_encoders, _powers, _flat):
+        kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc holds what was freed
+    if trim:
+        trim(0)
+
+
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY,
     block_chars: int = 24_000_000, check_round_trip: bool = False,

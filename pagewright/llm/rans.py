@@ -8,7 +8,8 @@ CRC-32 of its decoded symbols, and the block one of its payload.
 
 State: 32 bits in [2^16, 2^32); frequencies sum to 2^precision, precision at most 16; a symbol
 puts out one word at most. Symbols are numbered densely by the table, so that any 32-bit ids can be
-encoded as long as there are at most 2^precision different ones.
+encoded as long as there are at most 2^precision different ones. Where no precision is asked for it is 14, or
+what more different ids need, up to 16: 65,536 ids, which all of operator 1's vocabulary (50,256) fits.
 
 Tokens come as a list column, or as a text column: its ids are then its UTF-8 bytes, with no list being
 made of them.
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
-from .common import col, projected
+from .bpe import encode, release, slices
+from .common import col, materialise, projected
 
-PRECISION, LANES, BLOCK_SYMBOLS, CHECKPOINT_STEPS = 14, 1024, 4_000_000, 1024
+PRECISION, MOST_PRECISION, LANES, BLOCK_SYMBOLS, CHECKPOINT_STEPS = 14, 16, 1024, 4_000_000, 1024
 LOW = 1 << 16
 
 
@@ -47,7 +48,9 @@ class FrequencyTable:
     precision: int
 
     @staticmethod
-    def of(ids: np.ndarray, counts: np.ndarray, precision: int = PRECISION) -> FrequencyTable:
+    def of(ids: np.ndarray, counts: np.ndarray, precision: int | None = None) -> FrequencyTable:
+        if precision is None:
+            precision = min(max(PRECISION, int(len(ids) - 1).bit_length()), MOST_PRECISION)
         order = np.argsort(ids)
         ids, counts = np.asarray(ids, np.int64)[order], np.asarray(counts, np.float64)[order]
         total, n = 1 << precision, len(ids)
@@ -62,10 +65,14 @@ class FrequencyTable:
         return FrequencyTable(ids, freq, precision)
 
     def numbers(self, ids: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.ids, ids)
-        if len(ids) and (not len(self.ids) or (self.ids[np.minimum(at, len(self.ids) - 1)] != ids).any()):
-            raise ValueError("the frequency table lacks an id")
-        return at
+        out = np.empty(len(ids), np.uint32)
+        for a in range(0, len(ids), 500_000):  # work arrays stay small
+            part = ids[a : a + 500_000]
+            at = np.searchsorted(self.ids, part)
+            if not len(self.ids) or (self.ids[np.minimum(at, len(self.ids) - 1)] != part).any():
+                raise ValueError("the frequency table lacks an id")
+            out[a : a + len(part)] = at
+        return out
 
 
 class Codec:
@@ -80,7 +87,7 @@ class Codec:
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """Payload, and the checkpoints: for each segment, from the first, the place of its words in the payload,
         the CRC-32 of its symbols, and the states to begin with."""
-        numbers = self.table.numbers(ids).astype(np.uint32)
+        numbers = self.table.numbers(ids)
         n, lanes, precision = len(ids), self.lanes, np.uint32(self.table.precision)
         steps = -(-n // lanes)
         states = np.full(lanes, LOW, np.uint32)
@@ -155,11 +162,12 @@ def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.frombuffer(b"".join(x for x in raw if x), np.uint8)
 
 
-def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: int = PRECISION) -> FrequencyTable:
+def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: int | None = None) -> FrequencyTable:
     """The table of all tokens. Each task counts its own; what comes to the driver is a row for each
-    different id, of which there are 2^precision at most."""
+    different id, of which there are 2^precision at most (2^16, if no precision is given)."""
 
     def count(batches):
+        release()
         total: dict[int, int] = {}
         for whole in batches:
             for b in _lots(whole, 0):
@@ -168,7 +176,7 @@ def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: in
                     total[v] = total.get(v, 0) + c
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
 
-    rows = tokens.select(col(tokens_col)).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).limit((1 << precision) + 1).collect()
+    rows = tokens.select(col(tokens_col)).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).limit((1 << (precision or MOST_PRECISION)) + 1).collect()
     return FrequencyTable.of(np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows]), precision)
 
 
@@ -194,6 +202,7 @@ def encode_blocks(
     shared = tokens.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
+        release()
         codec = Codec(shared.value, lanes, checkpoint_steps)
         held: list[pa.RecordBatch] = []
         size = 0
@@ -250,6 +259,6 @@ def decode_blocks(blocks: DataFrame, table: FrequencyTable, id_col: str = "doc_i
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' token ids of the byte-level vocabulary (256 ids) as rANS blocks."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_blocks(docs, frequency_table(docs, "text"), tokens_col="text")
+    """All documents' token ids by operator 1 as rANS blocks. The tokens are written once: counting and coding both read them."""
+    tokens, _ = materialise(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_tokens"), "rans-tokens")
+    return encode_blocks(tokens, frequency_table(tokens, precision=MOST_PRECISION))

@@ -128,6 +128,25 @@ def test_rans_tables(spark):
         rans.frequency_table(spark.range(5).select(F.array(F.col("id").cast("int")).alias("tokens")), precision=2)
 
 
+def test_rans_takes_more_ids_than_fourteen_bits(spark):
+    tokens = spark.range(300).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: (F.col("id") * 100 + k).cast("int")).alias("tokens"))
+    table = rans.frequency_table(tokens)
+    assert len(table.ids) == 30_000 and table.precision == 15
+    back = rans.decode_blocks(rans.encode_blocks(tokens, table, lanes=16), table, lanes=16)
+    assert {r.doc_id: r.tokens for r in back.collect()} == {r.doc_id: r.tokens for r in tokens.collect()}
+    whole = rans.FrequencyTable.of(np.arange(50_256), np.ones(50_256))
+    assert whole.precision == 16 and whole.freq.min() == 1 and whole.freq.sum() == 1 << 16
+
+
+def test_op7_codes_the_tokens_of_the_vocabulary(spark):
+    folder = "/root/testdata/sf0.001"
+    want = {r.doc_id: r.tokens for r in bpe.op1_bpe(spark, folder).collect()}
+    blocks = rans.op7_token_binary(spark, folder)
+    assert blocks.agg(F.sum("n_symbols")).first()[0] == sum(map(len, filter(None, want.values())))
+    table = rans.frequency_table(bpe.encode(spark.read.parquet(f"{folder}/documents.parquet")), precision=rans.MOST_PRECISION)
+    assert {r.doc_id: r.tokens for r in rans.decode_blocks(blocks, table).collect()} == want
+
+
 # -- exact dedup
 
 

@@ -1,15 +1,18 @@
-"""Operator 2: SimHash near-dedup over a byte-position inverted index with count filtering.
+"""Operator 2: SimHash near-dedup: every pair of fingerprints within `max_bits` is found.
 
 A document's features are its distinct words (lower case, without punctuation); its fingerprint has
-256 bits. The first `positions` bytes are the indexed signature of 8 * positions bits: two signatures
-within `positions - matches` bits of each other share at least `matches` bytes at their places, as
-each differing bit spoils one byte at most. The index is over groups of byte positions: the positions
+256 bits. Each differing bit spoils one byte at most, so two fingerprints within `max_bits` share at least
+`positions - max_bits` of their first `positions` bytes at their places; no greater `matches` is taken, as
+it would lose pairs. At the default of 48 bits, which exceed the 32 bytes, that is none, and no index by bytes
+finds all pairs: blocks of fingerprints meet, all pairs of blocks, and all distances are computed.
+
+With `matches` over 0 a byte-position inverted index with count filtering serves. It is over groups of byte positions: the positions
 are dealt into so few classes that any `matches` of them hold `key_bytes` of one class, so every
 pair that the count filter would keep meets under one key at least. Where a pair meets, its shared
 positional bytes are tallied; pairs that reach `matches` are verified by the whole 256 bits.
 
 Documents of one fingerprint are one node. Verified pairs are joined to components; the least id of
-each component is kept. Within a key's bucket a pair whose ends are already linked isn't compared,
+each component is kept. Within a key's bucket or a pair of blocks a pair whose ends are already linked adds no edge,
 so that a large group of copies yields a tree of edges, not all its pairs.
 
 Defined cases: null, empty and wordless texts have no fingerprint and are never near copies; rows
@@ -31,7 +34,8 @@ from .bpe import slices, span_hashes
 from .common import col, discard, fresh, materialise, projected
 from .components import connected_components
 
-POSITIONS, MATCHES, MAX_BITS = 16, 4, 48
+POSITIONS, MATCHES, MAX_BITS = 16, 0, 48
+BLOCKS, BLOCK = 16, 65_536
 
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _SIGNS = ((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1
@@ -121,18 +125,79 @@ def _matched(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray, positions: int
             i, j = i[near], j[near]
             if len(i):
                 out.append((nodes[i], nodes[j]))
-                while True:  # both ends take the least label, until nothing changes
-                    low = np.minimum(label[i], label[j])
-                    if (label[i] == low).all() and (label[j] == low).all():
-                        break
-                    np.minimum.at(label, i, low)
-                    np.minimum.at(label, j, low)
-                    np.minimum.at(label, label[i], low)
-                    np.minimum.at(label, label[j], low)
+                _link(label, i, j)
         step += 1
 
 
+def _link(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Both ends take the least label, until nothing changes."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            break
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+
+
+def _within(fp: np.ndarray, split: int, max_bits: int, rows: int = 512, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs within max_bits, of the first `split` fingerprints with the others or, if there are no others,
+    with each other; pairs whose ends are linked already are left out."""
+    n = len(fp)
+    label = np.arange(n)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    signs = lambda x: np.unpackbits(x.view(np.uint8).reshape(len(x), 32), axis=1).astype(np.float32) * 2 - 1
+    own = split == n
+    for c in range(0 if own else split, n, columns):
+        others = signs(fp[c : c + columns]).T
+        for r in range(0, min(split, c + columns) if own else split, rows):
+            # equal bits less differing ones
+            i, j = np.nonzero(signs(fp[r : min(r + rows, split)]) @ others >= 256 - 2 * max_bits)
+            i, j = i + r, j + c
+            new = label[i] != label[j]
+            i, j = i[new], j[new]
+            if len(i):
+                once = np.unique(label[i] * n + label[j], return_index=True)[1]
+                i, j = i[once], j[once]
+                left.append(i)
+                right.append(j)
+                _link(label, i, j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _all_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Edges of all pairs of nodes within max_bits: a task for each pair of blocks."""
+    n = nodes.count()
+    blocks = max(-(-n // BLOCK), min(-(-n // 2048), BLOCKS), 1)
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    sent = nodes.select(block.alias("block"), "node", *"abcd").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    sent = sent.select("block", (high * (high + 1) / 2 + low).cast("int").alias("pair"), "node", *"abcd")
+
+    def meet(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held, schema=held[0].schema).sort_by("block")
+            block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
+            pair = t.column("pair")[0].as_py()
+            high = (int((8 * pair + 1) ** 0.5) - 1) // 2
+            low = pair - high * (high + 1) // 2
+            if low == high or block[0] != block[-1]:  # else one of the two blocks is empty
+                fp = np.column_stack([t.column(x).to_numpy() for x in "abcd"])
+                i, j = _within(fp, int(np.searchsorted(block, block[0], side="right")), max_bits)
+                u, v = node[i], node[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    together = sent.repartitionById(blocks * (blocks + 1) // 2, F.col("pair"))
+    return together.mapInArrow(meet, "u long, v long").where("u <> v").distinct()
+
+
 def _edges(nodes: DataFrame, positions: int, matches: int, max_bits: int, key_bytes: int) -> DataFrame:
+    if matches > max(positions - max_bits, 0):
+        raise ValueError(f"{matches} equal bytes of {positions} aren't certain within {max_bits} bits")
+    if not matches:
+        return _all_pairs(nodes, max_bits)
     groups = position_keys(positions, matches, key_bytes)
     keyed = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), *_FP])
 
@@ -202,7 +267,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, kept_id): each row that has a near copy, with the row of its group that is kept; the kept
     rows themselves aren't listed. key_bytes: more of them make smaller buckets, for more
-    index rows; the result is the same."""
+    index rows; the result is the same. Without `matches` there is no index and key_bytes has no effect."""
     groups, _ = _groups(projected(docs, id=id_col, text=text_col), positions, matches, max_bits, key_bytes)
     groups, _ = materialise(groups, "simhash-groups")
     other = groups.join(_first(groups), "root").groupBy("id", "th", "kept", "kept_th").agg(F.count("*").alias("n"))

@@ -216,6 +216,31 @@ def test_near_duplicates_agree_with_all_pairs(spark, key_bytes):
     assert {tuple(r) for r in simhash.near_duplicates(frame(spark, rows), key_bytes=key_bytes).collect()} == want
 
 
+@pytest.mark.parametrize("given", [{}, {"positions": 32, "matches": 4, "max_bits": 28}])
+def test_no_near_pair_is_lost_to_a_filter(spark, given):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for _ in range(60):  # groups of two, edited by up to 15 %
+        text, share = rnd.choices(words, k=rnd.randint(60, 200)), rnd.choice([0.02, 0.05, 0.1, 0.15])
+        for edited in (text, [w if rnd.random() > share else rnd.choice(words) for w in text]):
+            rows.append((len(rows), " ".join(edited)))
+    bits = given.get("max_bits", simhash.MAX_BITS)
+    roots = near_brute(rows, matches=0, bits=bits)
+    want = {(i, r) for i, r in enumerate(roots) if i != r}
+    assert len(want) > 15 and (given or want != {(i, r) for i, r in enumerate(near_brute(rows, 16, 4, bits)) if i != r})
+    assert {tuple(r) for r in simhash.near_duplicates(frame(spark, rows), **given).collect()} == want
+
+
+def test_blocks_of_fingerprints_meet_all_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 25)
+    rows = copies()
+    want = {(i, r) for i, r in enumerate(near_brute(rows, matches=0)) if i != r}
+    assert {tuple(r) for r in simhash.near_duplicates(frame(spark, rows)).collect()} == want
+    with pytest.raises(ValueError, match="certain"):
+        simhash.near_duplicates(frame(spark, rows), matches=4)
+
+
 def test_every_pair_with_enough_matches_shares_a_key():
     rnd = random.Random(1)
     for positions, matches, key_bytes in ((16, 4, 2), (16, 4, 3), (8, 3, 2), (8, 1, 2), (12, 5, 1)):

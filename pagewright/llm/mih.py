@@ -7,9 +7,10 @@ small matrix). The signs give d bits a rotation, `code_bits` in all.
 Search: the code is split into bytes, each with its own index from value to items. To find every code within
 radius r of a query, byte j is probed within floor(r / m), or one less from place r mod m + 1 on: by the pigeonhole
 principle no code within r is missed. What is found and lies within r by the whole code is
-reranked by the cosine of the floats. A query's radius follows from the best cosines of a first search
-in its own block: a neighbour at least as near differs in about angle / pi of the bits, give or take
-`deviations` standard deviations; a first result over fewer items can only widen it.
+reranked by the cosine of the floats. A query's radius follows from the k best by cosine in its own block: the widest of their
+angles between centred vectors, which are what is coded, gives about angle / pi of the bits, give or take
+`deviations` standard deviations. It is never less than the distance of these k by their codes, so that all of them are found
+and no query gets fewer than k; in a block of no more than k others it takes in everything.
 
 Queries and items meet block by block, all pairs of blocks, so that memory depends on the block's
 size alone. Every vector is a query.
@@ -168,16 +169,19 @@ def nearest_neighbours(
         return _unit(_matrix(t.column("v").combine_chunks(), d)), codes, t.column("num").to_numpy()
 
     def first(t: pa.Table) -> pa.Table:
-        """Each query's radius, from the k-th best cosine of its own block."""
+        """Each query's radius, from the k best of its own block."""
         x, codes, num = arrays(t)
-        kth = np.full(len(x), -1.0)
+        words, centred = codes.view(np.uint64), _unit(x - mean.astype(np.float32))
+        radius = np.full(len(x), code_bits)
         if len(x) > k:
             for a in range(0, len(x), 256):
                 s = x[a : a + 256] @ x.T
                 s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-                kth[a : a + 256] = np.partition(s, -k, axis=1)[:, -k]
-        p = np.arccos(np.clip(kth - 1e-6, -1, 1)) / np.pi
-        radius = np.ceil(code_bits * p + deviations * np.sqrt(code_bits * p * (1 - p)))
+                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                far = np.bitwise_count(words[a : a + 256, None] ^ words[best]).sum(2).max(1)
+                least = np.einsum("qd,qkd->qk", centred[a : a + 256], centred[best]).min(1)
+                p = np.arccos(np.clip(least - 1e-6, -1, 1)) / np.pi
+                radius[a : a + 256] = np.maximum(far, np.ceil(code_bits * p + deviations * np.sqrt(code_bits * p * (1 - p))))
         return t.append_column("radius", pa.array(np.minimum(radius, code_bits).astype(np.int32)))
 
     ready_schema = T.StructType([*coded.schema, T.StructField("radius", T.IntegerType())])

@@ -134,6 +134,21 @@ def test_neighbours_recall(spark, clusters, block):
         assert np.allclose([q for _, _, q in found], [s[i, n] for _, n, _ in found], atol=1e-5) and all(a[2] >= b[2] for a, b in zip(found, found[1:]))
 
 
+@pytest.mark.parametrize("block", [120, 16_384])
+def test_neighbours_of_vectors_with_a_large_common_mean(spark, block):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((700, 24)) * 0.4 + rng.standard_normal((20, 24))[rng.integers(0, 20, 700)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) + 2.5 * np.eye(24)[0]).astype(np.float32)
+    assert np.linalg.norm((x / np.linalg.norm(x, axis=1, keepdims=True)).mean(0)) > 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in mih.nearest_neighbours(df, block=block, rounds=3).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    want, _ = exact(x, 10)
+    assert [len(got.get(i, ())) for i in range(700)] == [10] * 700
+    assert np.mean([len(got[i] & set(want[i])) / 10 for i in range(700)]) >= 0.95
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(5)
     items = rng.integers(0, 256, (500, 8), dtype=np.uint8)

@@ -1,7 +1,7 @@
 """Operator 8: sharding along a Hilbert curve.
 
-Each metadata dimension is quantised to 2^bits levels of about equal numbers of rows, by quantiles over all rows
-(of a string, by its first six bytes as a number). The cell's place on the Hilbert curve comes from a
+Each metadata dimension is quantised to 2^bits levels of about equal numbers of rows, by quantiles over all rows;
+strings are cut by their whole values, whose rows are counted in ranges of the sorted distinct values. The cell's place on the Hilbert curve comes from a
 table of all 2^(bits * dimensions) cells, which is of fixed size and sent to the executors with each
 cell's shard. Runs of cells are cut into shards of about `shard_bytes`; a cell that is larger alone is
 dealt to several shards by a hash of the id. The rows of a shard are written together, in the order of the
@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh
+from .common import col, discard, fresh, materialise
 
 BITS, SHARD_BYTES, MOST_BITS = 5, 64 << 20, 18
 
@@ -54,17 +54,40 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(docs: DataFrame, name: str) -> Column:
-    """A dimension as a double, in the same order."""
-    kind = docs.schema[name].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.hex(F.substring(col(name).cast("binary"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, T.DateType):
+def _is_text(docs: DataFrame, name: str) -> bool:
+    return isinstance(docs.schema[name].dataType, (T.StringType, T.BinaryType))
+
+
+def _value(docs: DataFrame, name: str) -> Column:
+    """A dimension as what is compared: bytes, or a double in the same order."""
+    if _is_text(docs, name):
+        return col(name).cast("binary")
+    if isinstance(docs.schema[name].dataType, T.DateType):
         return F.unix_date(col(name)).cast("double")
     return col(name).cast("double")
 
 
+def _text_cuts(docs: DataFrame, name: str, levels: int) -> list[bytes]:
+    """The values at which the running count of rows, in the order of the whole values, passes a multiple of 1 / levels. Nulls
+    count, as the least value. No more than `levels` values come to the driver."""
+    spark = docs.sparkSession
+    counts = docs.select(_value(docs, name).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    # written, so that the ranges stay; their numbers are in the order of the values
+    ranged, path = materialise(counts.repartitionByRange(F.col("v").asc_nulls_first()).withColumn("range", F.spark_partition_id()), "hilbert-values")
+    total, starts = 0, []
+    for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():
+        starts.append((r["range"], total))
+        total += r["n"]
+    if not total:
+        return []
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy(F.col("v").asc_nulls_first())) + F.col("start")
+    run = ranged.join(F.broadcast(spark.createDataFrame(starts, "range int, start long")), "range").select("v", "n", upto.alias("upto"))
+    passed = run.where((F.floor(F.col("upto") * levels / total) > F.floor((F.col("upto") - F.col("n")) * levels / total)) & F.col("v").isNotNull())
+    cuts = [bytes(r["v"]) for r in passed.select("v").collect()]
+    discard(spark, [path])
+    return cuts
+
+
 def shard(
     docs: DataFrame, dimensions: list[str], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
@@ -74,11 +97,13 @@ def shard(
     spark = docs.sparkSession
     levels = 1 << bits
     asked = [k / levels for k in range(1, levels)]
-    cuts = docs.agg(*(F.percentile_approx(_number(docs, d), asked, 10_000).alias(f"d{i}") for i, d in enumerate(dimensions))).first()
+    quantiles = [F.percentile_approx(_value(docs, d), asked, 10_000).alias(f"d{i}") for i, d in enumerate(dimensions) if not _is_text(docs, d)]
+    found = docs.agg(*quantiles).first().asDict() if quantiles else {}
+    cuts = [_text_cuts(docs, d, levels) if _is_text(docs, d) else found[f"d{i}"] for i, d in enumerate(dimensions)]
     key, size = fresh(docs.columns, "cell"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)) + 1
     cell = F.lit(0)
     for d, c in zip(dimensions, cuts):
-        v = _number(docs, d)
+        v = _value(docs, d)
         level = F.lit(0)
         for k in sorted(set(c or [])):
             level = level + F.when(v > k, 1).otherwise(0)

@@ -401,6 +401,17 @@ def test_shards(spark):
     assert read < 0.6 * len(bounds)  # the rest is pruned
 
 
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_strings_that_begin_alike_are_told_apart(spark, kind):
+    rows = [(i, "x" * 99, f"https://example.org/source_{i % 40:04d}") for i in range(800)]
+    docs = spark.createDataFrame([*rows, (800, "x", None)], "doc_id long, text string, source string").withColumn("source", F.col("source").cast(kind))
+    bounds = hilbert.manifest(hilbert.shard(docs, ["source"], shard_bytes=5000), ["source"]).collect()
+    text = lambda v: v if isinstance(v, str) else bytes(v).decode()
+    wanted = "https://example.org/source_0017"
+    assert len(bounds) >= 16 and sum(b.n_rows for b in bounds) == 801
+    assert sum(b.min_source is not None and text(b.min_source) <= wanted <= text(b.max_source) for b in bounds) <= 2
+
+
 def test_a_cell_larger_than_a_shard_is_dealt(spark):
     docs = spark.createDataFrame([(i, "x" * 99, 1) for i in range(400)], "doc_id long, text string, k int")
     fill = Counter(r.shard_id for r in hilbert.shard(docs, ["k"], shard_bytes=5000).collect())

@@ -1,11 +1,11 @@
 from pyspark.sql import functions as F
 
-from pagewright import batch_summary, benchmark_summary, document_metrics, quality_checks, quality_rollup, reply_pages
+from pagewright import batch_summary, benchmark_summary, chunk, document_metrics, quality_checks, quality_rollup, reply_pages
 from pagewright.functions import paths as P
 from pagewright.functions import render as M
 from pagewright.functions.errors import ERROR_TYPES, classify
 from pagewright.functions.metrics import rate
-from pagewright.functions.text import count_tables, unify_newlines
+from pagewright.functions.text import count_tables, marker_pages, page_marker, unify_newlines, without_markers
 
 
 def one(spark, column, **values):
@@ -95,3 +95,21 @@ def test_replies(spark):
         (1, 1): ("Title", "Title", ["title"]), (1, 2): ("b", "b", ["text"]), (2, 1): ("whole", "", ["text"]), (2, 2): ("p", "p", ["text"]), (2, 8): ("q", "q", ["text"]),
         (3, 1): ("only", "", []), (4, 1): ("", "", []),
     }
+
+
+def test_markers_around_and_within_whole_documents(spark):
+    """marker_ranges' operators on whole texts, against Python's re: markers before, within and after every document."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("doc_id", "text")
+    k = F.pmod("doc_id", F.lit(6)).cast("int")
+    parts = [page_marker(k + 3), F.expr("left(text, cast(length(text) / 2 as int))"), page_marker(k + 1), F.expr("substring(text, cast(length(text) / 2 as int) + 1)"), page_marker(k + 3), "text", F.lit("<!--page_number:  9-->")]
+    docs = docs.select("doc_id", "text", F.concat(*parts).alias("content"))
+    got = docs.select("doc_id", "text", marker_pages(F.col("content")).alias("markers"), without_markers(F.col("content")).alias("clean")).collect()
+    pages = {}
+    for r in chunk(docs.select("doc_id", "content"), ["doc_id"]).select("doc_id", "page_numbers").collect():
+        pages.setdefault(r.doc_id, set()).update(r.page_numbers)
+    assert len(got) > 100 and max(len(r.text) for r in got) > 10_000
+    for r in got:
+        n = r.doc_id % 6
+        assert "<!--" not in r.text and r.markers == [n + 3, n + 1, n + 3, 9]
+        assert r.clean == (r.text * 2).strip()
+        assert pages[r.doc_id] >= {n + 3, n + 1, 9}

@@ -15,7 +15,7 @@ from ..functions.text import unify_newlines
 from ..operators.chunk import chunk
 
 
-def text_stream(spark: SparkSession, folder: str, pattern: str = "*.[mt][dx]*") -> DataFrame:
+def text_stream(spark: SparkSession, folder: str, pattern: str = "*.[mMtT][dDxX]*") -> DataFrame:
     """source and content of the folder's Markdown and text files that are valid UTF-8, as a stream."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
     files = files.where((P.family(F.col("path")) == "text") & F.is_valid_utf8(F.col("content").cast("string")))

@@ -135,6 +135,15 @@ def test_config(tmp_path):
         assert Config(f, {}).get("default_pdf_engine") == "simple"
 
 
+def test_stream_takes_suffixes_of_any_case(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.MD", "b.TXT", "c.Md", "d.txt", "e.PDF"):
+        (tmp_path / "in" / name).write_text("# Title\ntext")
+    pagewright.ingest_chunks(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
+    sources = spark.read.parquet(str(tmp_path / "t")).select("source").distinct().collect()
+    assert sorted(r.source.rsplit("/", 1)[1] for r in sources) == ["a.MD", "b.TXT", "c.Md", "d.txt"]
+
+
 def test_stream(spark, folder, tmp_path):
     for want in (1, 1):
         pagewright.ingest_chunks(spark, str(folder), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)

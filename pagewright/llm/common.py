@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,26 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that materialise() wrote within it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        discard(spark, _scratch.pop())
+
+
 def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write a table into the shared folder and read it back: lineage ends there, and a lost
-    executor costs nothing that was already written."""
+    executor costs nothing that was already written. It stays until discard(), or the end of the scratch() around it."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -51,6 +67,15 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """make()'s result as a table in the shared folder; what was written on the way to it is deleted."""
+    path = fresh_path(spark, tag)
+    with scratch(spark):
+        made = make()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def fresh(columns: Iterable[str], base: str) -> str:
     """A column name that the table doesn't have yet (names are compared without case)."""
     taken = {c.lower() for c in columns}

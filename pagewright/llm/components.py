@@ -12,9 +12,9 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge but the roots themselves, root being the least node of the
-    component, and the path of that table.
+    component.
 
     edges: (u, v) of any orderable type without nulls. Each round writes its edges to the shared
     folder; a hub's neighbours are joined and aggregated, never gathered into one row.
@@ -38,4 +38,4 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
         if new == state:
             break
         state = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")), path
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,19 +1,20 @@
-"""Operator 2: SimHash near-dedup: every pair of fingerprints within `max_bits` is found.
+"""Operator 2: SimHash near-dedup by a byte-position inverted index with count filtering.
 
-A document's features are its distinct words (lower case, without punctuation); its fingerprint has
-256 bits. Each differing bit spoils one byte at most, so two fingerprints within `max_bits` share at least
-`positions - max_bits` of their first `positions` bytes at their places; no greater `matches` is taken, as
-it would lose pairs. At the default of 48 bits, which exceed the 32 bytes, that is none, and no index by bytes
-finds all pairs: blocks of fingerprints meet, all pairs of blocks, and all distances are computed.
+A document's features are its distinct words (lower case, without punctuation), each weighing the square root of
+how often it occurs; its fingerprint has 256 bits. Each differing bit spoils one byte at most, so two fingerprints within
+`max_bits` share at least `positions - max_bits` bytes at their places: the guaranteed minimum, `matches`. No greater one is
+taken, hence no pair within `max_bits` is lost.
 
-With `matches` over 0 a byte-position inverted index with count filtering serves. It is over groups of byte positions: the positions
-are dealt into so few classes that any `matches` of them hold `key_bytes` of one class, so every
-pair that the count filter would keep meets under one key at least. Where a pair meets, its shared
-positional bytes are tallied; pairs that reach `matches` are verified by the whole 256 bits.
+The index leads from a byte's place and value to fingerprints. The places are dealt into so few classes that any `matches` of them hold
+`key_bytes` of one class; a fingerprint is listed under each of its bytes but a class's last ones, and within a list pairs meet
+that agree in the other bytes of a key too. Where a pair meets, its shared positional bytes are tallied; pairs that reach `matches`
+are verified by the whole 256 bits. More bytes a key make pairs that meet by chance rarer and keys more, so
+their number follows from the number of fingerprints; the result is the same. Lists of over `most_listed` fingerprints are split into
+blocks, each pair of which is a task's.
 
-Documents of one fingerprint are one node. Verified pairs are joined to components; the least id of
-each component is kept. Within a key's bucket or a pair of blocks a pair whose ends are already linked adds no edge,
-so that a large group of copies yields a tree of edges, not all its pairs.
+Documents of one fingerprint are one node. Verified pairs are joined to components, the classes; the least id names a class. Every link is
+found under several keys and counted under the first of them alone. Where links needn't be counted, a pair whose
+ends are linked already isn't looked at.
 
 Defined cases: null, empty and wordless texts have no fingerprint and are never near copies; rows
 with a null id come after all others in the choice of the kept row; repeated rows are copies of each
@@ -31,15 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices, span_hashes
-from .common import col, discard, fresh, materialise, projected
+from .common import col, finished, fresh, materialise, projected
 from .components import connected_components
 
-POSITIONS, MATCHES, MAX_BITS = 16, 0, 48
-BLOCKS, BLOCK = 16, 65_536
+POSITIONS, MAX_BITS, MOST_LISTED = 32, 28, 400_000
 
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _SIGNS = ((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1
 _SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_LOW7, _HIGH1 = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -61,28 +62,40 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     end = np.nonzero(word & ~np.concatenate((word[1:], [False])))[0] + 1
     doc = np.searchsorted(ends, start, side="right")
     h = span_hashes(chars, start, end)
-    # the distinct words of each text
+    # the distinct words of each text, and how often each occurs
     tagged = _mixed(h, _SEEDS[0]) + _mixed(doc.astype(np.uint64) + np.uint64(1), _SEEDS[3])
     order = np.argsort(tagged)
     tagged = tagged[order]
-    first = np.concatenate(([True], tagged[1:] != tagged[:-1])) if len(tagged) else np.zeros(0, bool)
+    first = np.nonzero(np.concatenate(([True], tagged[1:] != tagged[:-1])))[0] if len(tagged) else np.zeros(0, np.int64)
+    weight = np.sqrt(np.diff(np.append(first, len(tagged))))
     h, doc = h[order][first], doc[order][first] * 256
     out = np.zeros((n, 32), np.uint8)
     for seed in range(4):
         m = np.ascontiguousarray(_mixed(h, _SEEDS[seed])).view(np.uint8).reshape(-1, 8)
         for j in range(8):
-            tally = np.bincount(doc + m[:, j], minlength=n * 256).reshape(n, 256) @ _SIGNS
-            out[:, seed * 8 + j] = np.packbits(tally > 0, axis=1, bitorder="little")[:, 0]
+            tally = np.bincount(doc + m[:, j], weights=weight, minlength=n * 256).reshape(n, 256) @ _SIGNS
+            # sums of roots in another order may differ in their last digits, so that 0 isn't quite 0
+            out[:, seed * 8 + j] = np.packbits(tally > 1e-6, axis=1, bitorder="little")[:, 0]
     some = np.zeros(n, bool)
     some[doc // 256] = True
     return out, some
 
 
-def position_keys(positions: int = POSITIONS, matches: int = MATCHES, key_bytes: int = 2) -> list[tuple[int, ...]]:
-    """Groups of byte positions, one of which lies within any `matches` positions."""
-    key_bytes = min(key_bytes, matches)
-    classes = max(1, (matches - 1) // (key_bytes - 1)) if key_bytes > 1 else positions
-    return [c for k in range(classes) for c in combinations(range(k, positions, classes), key_bytes)]
+def position_classes(positions: int, matches: int, key_bytes: int) -> list[list[int]]:
+    """Classes of byte places, one of which holds key_bytes of any `matches` places."""
+    n = max(1, (matches - 1) // (key_bytes - 1)) if key_bytes > 1 else 1
+    return [list(range(k, positions, n)) for k in range(n)]
+
+
+def _keys(positions: int, matches: int, key_bytes: int) -> int:
+    return sum(len(list(combinations(c, key_bytes))) for c in position_classes(positions, matches, key_bytes))
+
+
+def usual_key_bytes(n: int, positions: int, matches: int) -> int:
+    """Of how many bytes keys cost least for n fingerprints: each key sorts all of them, and ten times as many pairs meet as in a table
+    without any likeness."""
+    cost = lambda b: _keys(positions, matches, b) * (150.0 * n + 30.0 * 10 * n * n / (2 * 256.0**b))
+    return min(range(1, min(matches, 3) + 1), key=cost)
 
 
 _FP = T.StructType([T.StructField(x, T.LongType()) for x in "abcd"])
@@ -104,31 +117,6 @@ def _signed(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _matched(keys: np.ndarray, nodes: np.ndarray, fp: np.ndarray, positions: int, matches: int, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges within the runs of equal keys, at most a tree for each run's components."""
-    label = np.arange(len(keys))
-    at = np.arange(len(keys) - 1)
-    out = []
-    step = 1
-    raw = fp.view(np.uint8).reshape(len(keys), 32)
-    while True:
-        at = at[at + step < len(keys)]
-        at = at[keys[at] == keys[at + step]]
-        if not len(at):
-            return out
-        for lot in np.array_split(at, len(at) // 500_000 + 1):
-            i = lot[label[lot] != label[lot + step]]
-            j = i + step
-            shared = (raw[i, :positions] == raw[j, :positions]).sum(1) >= matches
-            i, j = i[shared], j[shared]
-            near = np.bitwise_count(fp[i] ^ fp[j]).sum(1) <= max_bits
-            i, j = i[near], j[near]
-            if len(i):
-                out.append((nodes[i], nodes[j]))
-                _link(label, i, j)
-        step += 1
-
-
 def _link(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Both ends take the least label, until nothing changes."""
     while True:
@@ -141,118 +129,245 @@ def _link(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(label, label[j], low)
 
 
-def _within(fp: np.ndarray, split: int, max_bits: int, rows: int = 512, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within max_bits, of the first `split` fingerprints with the others or, if there are no others,
-    with each other; pairs whose ends are linked already are left out."""
-    n = len(fp)
-    label = np.arange(n)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    signs = lambda x: np.unpackbits(x.view(np.uint8).reshape(len(x), 32), axis=1).astype(np.float32) * 2 - 1
-    own = split == n
-    for c in range(0 if own else split, n, columns):
-        others = signs(fp[c : c + columns]).T
-        for r in range(0, min(split, c + columns) if own else split, rows):
-            # equal bits less differing ones
-            i, j = np.nonzero(signs(fp[r : min(r + rows, split)]) @ others >= 256 - 2 * max_bits)
-            i, j = i + r, j + c
-            new = label[i] != label[j]
-            i, j = i[new], j[new]
+def _settle(label: np.ndarray) -> None:
+    """Every row takes the label of its label, until nothing changes."""
+    while (label[label] != label).any():
+        label[:] = label[label]
+
+
+def _tree(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of verified pairs as many as join what isn't joined yet, but one for each two labels; all are joined."""
+    new = np.nonzero(label[i] != label[j])[0]
+    i, j = i[new], j[new]
+    if len(i):
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        once = np.unique(low * len(label) + high, return_index=True)[1]
+        i, j = i[once], j[once]
+        _link(label, i, j)
+    return i, j
+
+
+def _verified(fp: np.ndarray, i: np.ndarray, j: np.ndarray, mask: np.ndarray, matches: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that share `matches` bytes at the indexed places and differ in no more than max_bits bits."""
+    x = fp[i] ^ fp[j]
+    shared = np.bitwise_count(~(((x & _LOW7) + _LOW7) | x) & mask).sum(1, dtype=np.uint8) >= matches
+    i, j, x = i[shared], j[shared], x[shared]
+    near = np.bitwise_count(x).sum(1, dtype=np.uint16) <= max_bits
+    return i[near], j[near]
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """For each place where its run of equal keys ends."""
+    ends = np.append(np.nonzero(np.diff(sorted_keys))[0] + 1, len(sorted_keys))
+    return np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+
+
+def _lots(begin: np.ndarray, end: np.ndarray, lot: int = 400_000):
+    """All pairs of a place i with the places from begin[i] to before end[i], in lots."""
+    counts = np.maximum(end - begin, 0)
+    total = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        before = int(total[at - 1]) if at else 0
+        to = max(int(np.searchsorted(total, before + lot, side="right")), at + 1)
+        c = counts[at:to]
+        if c.sum() > 4 * lot:  # one place with very many partners
+            for a in range(int(begin[at]), int(end[at]), lot):
+                j = np.arange(a, min(a + lot, int(end[at])))
+                yield np.full(len(j), at), j
+        elif len(c) and c.any():
+            i = np.repeat(np.arange(at, to), c)
+            yield i, np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + begin[i]
+        at = to
+
+
+class _Lists:
+    """The lists of one byte place: which other bytes complete a key, and what makes a pair this key's own."""
+
+    def __init__(self, positions: int, matches: int, key_bytes: int, max_bits: int) -> None:
+        self.classes = position_classes(positions, matches, key_bytes)
+        self.matches, self.key_bytes, self.max_bits = matches, key_bytes, max_bits
+        self.mask = np.full(32, 0x80, np.uint8)
+        self.mask[positions:] = 0
+        self.mask = self.mask.view(np.uint64)
+        self.places = [p for c in self.classes for p in (c[: len(c) - key_bytes + 1] if key_bytes > 1 else c[: positions - matches + 1])]
+
+    def pairs(self, place: int, key: np.ndarray, fp: np.ndarray, apart: np.ndarray | None, counted: bool):
+        """(i, j, joins): verified pairs of rows that share a list (the same key), and which of them join components; each pair
+        under its first key, or without `counted` only pairs that join. apart: blocks that meet and not their own rows."""
+        raw = fp.view(np.uint8).reshape(len(fp), 32)
+        own = next(k for k, c in enumerate(self.classes) if place in c)
+        cls = self.classes[own]
+        label = np.arange(len(fp))
+        lists = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        if not counted:  # what is near its list's first row needs no other key
+            yield from self._with_heads(lists, fp, label)
+        for rest in combinations([p for p in cls if p > place], self.key_bytes - 1):
+            k = lists
+            for q in rest:
+                k = k * 256 + raw[:, q]
+            if counted:
+                order = np.argsort(k, kind="stable")
+                begin, end = np.arange(1, len(k) + 1), _runs(k[order])
+                for i, j in _lots(begin, end):
+                    i, j = order[i], order[j]
+                    if apart is not None:
+                        across = apart[i] != apart[j]
+                        i, j = i[across], j[across]
+                    i, j = _verified(fp, i, j, self.mask, self.matches, self.max_bits)
+                    if len(i):
+                        first = self._first(raw, i, j, own, place, rest)
+                        i, j = i[first], j[first]
+                        yield i, j, *_tree(label, i, j)
+            else:
+                _settle(label)
+                least = np.full(lists.max(initial=0) + 1, len(fp))
+                np.minimum.at(least, lists, label)
+                if (label == least[lists]).all():
+                    return  # each list is joined
+                yield from self._joining(k, fp, label)
+
+    def _first(self, raw: np.ndarray, i: np.ndarray, j: np.ndarray, own: int, place: int, rest: tuple[int, ...]) -> np.ndarray:
+        same = raw[i] == raw[j]
+        key, last = {place, *rest}, max((place, *rest))
+        first = ~same[:, [p for p in self.classes[own] if p < last and p not in key]].any(1)
+        for c in self.classes[:own]:
+            first &= same[:, c].sum(1) < self.key_bytes
+        return first
+
+    def _with_heads(self, k: np.ndarray, fp: np.ndarray, label: np.ndarray):
+        """Pairs of the first row of each key with those of its others that join components."""
+        order = np.argsort(k, kind="stable")
+        head = order[np.searchsorted(k[order], k[order])]
+        apart = label[head] != label[order]
+        for i, j in zip(*(np.array_split(x[apart], apart.sum() // 400_000 + 1) for x in (head, order))):
+            i, j = _tree(label, *_verified(fp, i, j, self.mask, self.matches, self.max_bits))
             if len(i):
-                once = np.unique(label[i] * n + label[j], return_index=True)[1]
-                i, j = i[once], j[once]
-                left.append(i)
-                right.append(j)
-                _link(label, i, j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _all_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Edges of all pairs of nodes within max_bits: a task for each pair of blocks."""
-    n = nodes.count()
-    blocks = max(-(-n // BLOCK), min(-(-n // 2048), BLOCKS), 1)
-    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-    sent = nodes.select(block.alias("block"), "node", *"abcd").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    sent = sent.select("block", (high * (high + 1) / 2 + low).cast("int").alias("pair"), "node", *"abcd")
-
-    def meet(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held, schema=held[0].schema).sort_by("block")
-            block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
-            pair = t.column("pair")[0].as_py()
-            high = (int((8 * pair + 1) ** 0.5) - 1) // 2
-            low = pair - high * (high + 1) // 2
-            if low == high or block[0] != block[-1]:  # else one of the two blocks is empty
-                fp = np.column_stack([t.column(x).to_numpy() for x in "abcd"])
-                i, j = _within(fp, int(np.searchsorted(block, block[0], side="right")), max_bits)
-                u, v = node[i], node[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-    together = sent.repartitionById(blocks * (blocks + 1) // 2, F.col("pair"))
-    return together.mapInArrow(meet, "u long, v long").where("u <> v").distinct()
-
-
-def _edges(nodes: DataFrame, positions: int, matches: int, max_bits: int, key_bytes: int) -> DataFrame:
-    if matches > max(positions - max_bits, 0):
-        raise ValueError(f"{matches} equal bytes of {positions} aren't certain within {max_bits} bits")
-    if not matches:
-        return _all_pairs(nodes, max_bits)
-    groups = position_keys(positions, matches, key_bytes)
-    keyed = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), *_FP])
+                yield i, j, i, j
+
+    def _joining(self, k: np.ndarray, fp: np.ndarray, label: np.ndarray):
+        """Pairs that join components: first each key's first row with all others, then what is still apart."""
+        yield from self._with_heads(k, fp, label)
+        again = True
+        while again:
+            again = False
+            _settle(label)
+            order = np.lexsort((label, k))
+            end = _runs(k[order])
+            pair = np.stack((k[order], label[order]))
+            change = np.append(np.nonzero((np.diff(pair, axis=1) != 0).any(0))[0] + 1, len(k))
+            begin = np.repeat(change, np.diff(np.concatenate(([0], change))))
+            left = int(np.maximum(end - begin, 0).sum())
+            for i, j in _lots(begin, end):
+                left -= len(i)
+                i, j = order[i], order[j]
+                new = label[i] != label[j]
+                i, j = _tree(label, *_verified(fp, i[new], j[new], self.mask, self.matches, self.max_bits))
+                if len(i):
+                    yield i, j, i, j
+                    if left > 4_000_000:  # much of what is left may be joined by now
+                        again = True
+                        break
+
+
+def _found(nodes: DataFrame, n: int, positions: int, max_bits: int, key_bytes: int | None, counted: bool, most_listed: int) -> DataFrame:
+    """(u, v, n): edges (n null) that join all linked nodes, and if they are counted the links of u (v null)."""
+    matches = positions - max_bits
+    if not 0 < positions <= 32 or matches < 1:
+        raise ValueError(f"no byte of {positions} is certain to be shared within {max_bits} bits")
+    lists = _Lists(positions, matches, min(key_bytes or usual_key_bytes(n, positions, matches), matches), max_bits)
+    raw_of = lambda b: np.column_stack([b.column(k).to_numpy() for k in range(1, 5)]).view(np.uint8).reshape(b.num_rows, 32)
+    blocks = np.ones(32 * 256, np.int64)
+    if n > most_listed:  # else no list is longer
+
+        def lengths(batches):
+            total = np.zeros(32 * 256, np.int64)
+            for b in batches:
+                raw = raw_of(b)
+                for p in lists.places:
+                    total[p * 256 : p * 256 + 256] += np.bincount(raw[:, p], minlength=256)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["list", "n"])
+
+        # a row for each list, of which there are 32 x 256
+        for r in nodes.select("node", *"abcd").mapInArrow(lengths, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():
+            blocks[r["list"]] = max(1, -(-r["n"] // most_listed))
+    most = int(blocks.max())
+    block_of = lambda node, b: (_mixed(node.view(np.uint64) + np.uint64(1), _SEEDS[1]) % b.astype(np.uint64)).astype(np.int64)
 
     def index(batches):
         for b in batches:
-            fp = np.column_stack([b.column(k).to_numpy() for k in range(1, 5)])
-            raw = fp.view(np.uint8).reshape(b.num_rows, 32)
-            for g, places in enumerate(groups):
-                key = np.full(b.num_rows, g, np.int64)
-                for p in places:
-                    key = key * 256 + raw[:, p]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *"abcd"])
+            raw, node = raw_of(b), b.column(0).to_numpy()
+            for p in lists.places:
+                key = p * 256 + raw[:, p].astype(np.int64)
+                parts = blocks[key]
+                own = block_of(node, parts)
+                for other in range(int(parts.max(initial=1))):
+                    take = np.nonzero(other < parts)[0]
+                    low, high = np.minimum(own[take], other), np.maximum(own[take], other)
+                    task = (key[take] * most + low) * most + high
+                    part = b.take(pa.array(take)) if len(take) < b.num_rows else b
+                    yield pa.RecordBatch.from_arrays([pa.array(task), *part.columns], names=["key", "node", *"abcd"])
+
+    def meet(t: pa.Table, cut: int):
+        part = t.slice(0, cut)
+        task, node = part.column("key").to_numpy(), part.column("node").to_numpy()
+        fp = np.column_stack([part.column(x).to_numpy() for x in "abcd"]).view(np.uint64)
+        place = task // (most * most) // 256
+        edges, links, of = [], [], []
+        for lot in np.split(np.arange(cut), np.nonzero(np.diff(place))[0] + 1):
+            apart = None
+            if most > 1:
+                low, high = task[lot] // most % most, task[lot] % most
+                own = block_of(node[lot], blocks[task[lot] // (most * most)])
+                # rows of a block meet each other only in the task of that block alone
+                apart = np.where(low == high, -1 - np.arange(len(lot)), own)
+            count = np.zeros(len(lot), np.int64)
+            for i, j, a, b in lists.pairs(int(place[lot[0]]), task[lot], fp[lot], apart if counted else None, counted):
+                if counted:
+                    count += np.bincount(i, minlength=len(lot)) + np.bincount(j, minlength=len(lot))
+                edges.append((node[lot[a]], node[lot[b]]))
+            some = np.nonzero(count)[0]
+            links.append(count[some])
+            of.append(node[lot[some]])
+        u = np.concatenate([*(x for x, _ in edges), *of])
+        joins = sum(len(x) for x, _ in edges)
+        v, n = np.concatenate([*(x for _, x in edges), np.zeros(len(u) - joins, np.int64)]), np.concatenate([np.zeros(joins, np.int64), *links])
+        row = np.arange(len(u))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64(), mask=row >= joins), pa.array(n, pa.int64(), mask=row < joins)], names=["u", "v", "n"])
 
     def match(batches):
         held: list[pa.RecordBatch] = []
         rows = 0
-
-        def done(last: bool):
-            nonlocal held, rows
-            t = pa.Table.from_batches(held).combine_chunks()
-            keys = t.column("key").to_numpy()
-            cut = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                part = t.slice(0, cut)
-                fp = np.column_stack([part.column(x).to_numpy() for x in "abcd"]).view(np.uint64)
-                for u, v in _matched(keys[:cut], part.column("node").to_numpy(), fp, positions, matches, max_bits):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-            held = t.slice(cut).to_batches()
-            rows = len(keys) - cut
-
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 rows += b.num_rows
                 if rows >= 200_000 and b.column(0)[-1] != held[0].column(0)[0]:
-                    yield from done(False)
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    keys = t.column("key").to_numpy()
+                    cut = int(np.searchsorted(keys, keys[-1]))
+                    yield meet(t, cut)
+                    held, rows = t.slice(cut).to_batches(), len(keys) - cut
         if held:
-            yield from done(True)
+            yield meet(pa.Table.from_batches(held).combine_chunks(), rows)
 
-    buckets = nodes.select("node", *"abcd").mapInArrow(index, keyed).repartition("key").sortWithinPartitions("key")
-    return buckets.mapInArrow(match, "u long, v long").where("u <> v").distinct()
+    keyed = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), *_FP])
+    listed = nodes.select("node", *"abcd").mapInArrow(index, keyed).repartition("key").sortWithinPartitions("key")
+    return listed.mapInArrow(match, "u long, v long, n long")
 
 
-def _groups(docs: DataFrame, positions: int, matches: int, max_bits: int, key_bytes: int) -> tuple[DataFrame, list[str]]:
-    """(id, th, root, n) of every row in a group of at least two, and the tables that it reads."""
-    spark = docs.sparkSession
-    signed, p1 = materialise(_signed(docs), "simhash")
+def _groups(docs: DataFrame, positions: int, max_bits: int, key_bytes: int | None, counted: bool, most_listed: int) -> DataFrame:
+    """(id, th, root, n_links) of every row in a class of at least two."""
+    signed, _ = materialise(_signed(docs), "simhash")
     nodes = signed.groupBy(*"abcd").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
-    nodes, p2 = materialise(nodes, "simhash-nodes")  # written, so that the numbers stay
-    roots, p3 = connected_components(_edges(nodes, positions, matches, max_bits, key_bytes))
-    root = F.coalesce("root", "node")
+    nodes, _ = materialise(nodes, "simhash-nodes")  # written, so that the numbers stay
+    found, _ = materialise(_found(nodes, nodes.count(), positions, max_bits, key_bytes, counted, most_listed), "simhash-found")
+    roots = connected_components(found.where("n is null").select("u", "v"))
+    links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     heads = roots.select("root").distinct().select(F.col("root").alias("node"), F.lit(True).alias("head"))
-    joined = nodes.join(roots, "node", "left").join(heads, "node", "left").where("root is not null or head or n > 1")
-    groups = joined.select(*"abcd", root.alias("root"))
-    return signed.join(groups.hint("shuffle_hash"), list("abcd")).select("id", "th", "root"), [p1, p2, p3]
+    joined = nodes.join(roots, "node", "left").join(heads, "node", "left").where("root is not null or head or n > 1").join(links, "node", "left")
+    classes = joined.select(*"abcd", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.join(classes.hint("shuffle_hash"), list("abcd")).select("id", "th", "root", "n_links")
 
 
 def _first(groups: DataFrame) -> DataFrame:
@@ -263,30 +378,23 @@ def _first(groups: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positions: int = POSITIONS,
-    matches: int = MATCHES, max_bits: int = MAX_BITS, key_bytes: int = 2,
+    max_bits: int = MAX_BITS, key_bytes: int | None = None, most_listed: int = MOST_LISTED,
 ) -> DataFrame:
-    """(id, kept_id): each row that has a near copy, with the row of its group that is kept; the kept
-    rows themselves aren't listed. key_bytes: more of them make smaller buckets, for more
-    index rows; the result is the same. Without `matches` there is no index and key_bytes has no effect."""
-    groups, _ = _groups(projected(docs, id=id_col, text=text_col), positions, matches, max_bits, key_bytes)
-    groups, _ = materialise(groups, "simhash-groups")
-    other = groups.join(_first(groups), "root").groupBy("id", "th", "kept", "kept_th").agg(F.count("*").alias("n"))
-    same = F.col("id").eqNullSafe(F.col("kept")) & F.col("th").eqNullSafe(F.col("kept_th"))
-    # of rows that are wholly the same one is kept
-    listed = other.withColumn("n", F.col("n") - F.when(same, 1).otherwise(0)).where("n > 0")
-    return listed.select(F.col("id").alias(id_col), F.col("kept").alias("kept_id"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+    """(id, class_id, n_links): each row of a class of at least two rows, with the least id of its class and the number of
+    other fingerprints within max_bits of its own. Rows of one fingerprint are copies and no links; rows without any copy or link
+    aren't listed. An id column of another of these names keeps its name, and the added one gets underscores."""
+    groups, _ = materialise(_groups(projected(docs, id=id_col, text=text_col), positions, max_bits, key_bytes, True, most_listed), "simhash-groups")
+    names = [x + "_" * (x == id_col.lower()) for x in ("class_id", "n_links")]
+    return groups.join(_first(groups), "root").select(F.col("id").alias(id_col), F.col("kept").alias(names[0]), F.col("n_links").alias(names[1]))
 
 
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positions: int = POSITIONS,
-    matches: int = MATCHES, max_bits: int = MAX_BITS, key_bytes: int = 2,
+    max_bits: int = MAX_BITS, key_bytes: int | None = None, most_listed: int = MOST_LISTED,
 ) -> DataFrame:
-    """The rows of docs with one of each group, all columns kept."""
-    spark = docs.sparkSession
-    groups, paths = _groups(projected(docs, id=id_col, text=text_col), positions, matches, max_bits, key_bytes)
-    groups, _ = materialise(groups, "simhash-groups")
-    discard(spark, paths)
-    k_id, k_th, k_n, k_r = (fresh(docs.columns, x) for x in ("id", "th", "n", "row"))
+    """The rows of docs with one of each class, all columns kept."""
+    groups, _ = materialise(_groups(projected(docs, id=id_col, text=text_col), positions, max_bits, key_bytes, False, most_listed), "simhash-groups")
+    k_id, k_th, k_n = (fresh(docs.columns, x) for x in ("id", "th", "n"))
     first = _first(groups)
     joined = groups.join(first, "root").groupBy("id", "th", "kept", "kept_th").agg(F.count("*").alias("n"))
     same = F.col("id").eqNullSafe(F.col("kept")) & F.col("th").eqNullSafe(F.col("kept_th"))
@@ -303,5 +411,5 @@ def drop_near_duplicates(
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, kept_id) of every near or exact copy among the documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """(doc_id, class_id, n_links) of every document that has near or exact copies."""
+    return finished(spark, lambda: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")), "near-duplicates")

@@ -1,7 +1,9 @@
 """BPE, rANS, exact, near and line dedup against brute force, and the cases that are defined apart."""
 
 import random
+import time
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -178,7 +180,8 @@ def test_exact_awkward_rows(spark):
 # -- near dedup
 
 
-def near_brute(rows, positions=simhash.POSITIONS, matches=simhash.MATCHES, bits=simhash.MAX_BITS):
+def near_brute(rows, bits=simhash.MAX_BITS):
+    """(id, class, links) of every row of a class of at least two, from the distances of all pairs."""
     fp, some = simhash.fingerprints([t for _, t in rows])
     root = list(range(len(rows)))
 
@@ -187,67 +190,73 @@ def near_brute(rows, positions=simhash.POSITIONS, matches=simhash.MATCHES, bits=
             x = root[x]
         return x
 
+    links = [set() for _ in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if some[i] and some[j] and (fp[i, :positions] == fp[j, :positions]).sum() >= matches and np.bitwise_count(fp[i] ^ fp[j]).sum() <= bits:
+            distance = int(np.bitwise_count(fp[i] ^ fp[j]).sum())
+            if some[i] and some[j] and distance <= bits:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(rows))]
+                if distance:
+                    links[i].add(fp[j].tobytes())
+                    links[j].add(fp[i].tobytes())
+    classes = [find(i) for i in range(len(rows))]
+    size = Counter(classes)
+    return sorted((i, c, len(links[i])) for i, c in enumerate(classes) if size[c] > 1)
 
 
-def copies(n=40, seed=4):
+def copies(n=40, seed=4, shares=(0.02,)):
     rnd = random.Random(seed)
     words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(3000)]
     rows = []
     for _ in range(n):
-        text = rnd.choices(words, k=rnd.randint(30, 300))
+        text, share = rnd.choices(words, k=rnd.randint(30, 300)), rnd.choice(shares)
         for _ in range(rnd.choice([1, 1, 2, 12])):
-            edited = [w if rnd.random() > 0.02 else rnd.choice(words) for w in text]
+            edited = [w if rnd.random() > share else rnd.choice(words) for w in text]
             rows.append((len(rows), " ".join(edited)))
     return rows
 
 
-@pytest.mark.parametrize("key_bytes", [1, 2, 3])
-def test_near_duplicates_agree_with_all_pairs(spark, key_bytes):
-    rows = copies()
-    roots = near_brute(rows)
-    want = {(i, r) for i, r in enumerate(roots) if i != r}
-    assert len(want) > 50
-    assert {tuple(r) for r in simhash.near_duplicates(frame(spark, rows), key_bytes=key_bytes).collect()} == want
+def found(df):
+    return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("given", [{}, {"positions": 32, "matches": 4, "max_bits": 28}])
-def test_no_near_pair_is_lost_to_a_filter(spark, given):
-    rnd = random.Random(7)
-    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(3000)]
-    rows = []
-    for _ in range(60):  # groups of two, edited by up to 15 %
-        text, share = rnd.choices(words, k=rnd.randint(60, 200)), rnd.choice([0.02, 0.05, 0.1, 0.15])
-        for edited in (text, [w if rnd.random() > share else rnd.choice(words) for w in text]):
-            rows.append((len(rows), " ".join(edited)))
-    bits = given.get("max_bits", simhash.MAX_BITS)
-    roots = near_brute(rows, matches=0, bits=bits)
-    want = {(i, r) for i, r in enumerate(roots) if i != r}
-    assert len(want) > 15 and (given or want != {(i, r) for i, r in enumerate(near_brute(rows, 16, 4, bits)) if i != r})
-    assert {tuple(r) for r in simhash.near_duplicates(frame(spark, rows), **given).collect()} == want
-
-
-def test_blocks_of_fingerprints_meet_all_others(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 25)
-    rows = copies()
-    want = {(i, r) for i, r in enumerate(near_brute(rows, matches=0)) if i != r}
-    assert {tuple(r) for r in simhash.near_duplicates(frame(spark, rows)).collect()} == want
+@pytest.mark.parametrize("given", [{}, {"key_bytes": 1, "max_bits": 20}, {"key_bytes": 3, "max_bits": 24}, {"max_bits": 13, "positions": 16}, {"most_listed": 9}])
+def test_near_duplicates_agree_with_all_pairs(spark, given):
+    rows = copies(30, 5, (0.01, 0.03, 0.06, 0.1))
+    want = near_brute(rows, given.get("max_bits", simhash.MAX_BITS))
+    assert len(want) > 40 and sum(n for _, _, n in want) > 150
+    assert found(simhash.near_duplicates(frame(spark, rows), **given)) == want
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows), **given).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, c, _ in want if i != c}
+
+
+def test_a_filter_that_would_lose_pairs_is_refused(spark):
     with pytest.raises(ValueError, match="certain"):
-        simhash.near_duplicates(frame(spark, rows), matches=4)
+        simhash.near_duplicates(frame(spark, copies(3)), positions=16, max_bits=16)
 
 
-def test_every_pair_with_enough_matches_shares_a_key():
+@pytest.mark.parametrize("positions,matches,key_bytes", [(16, 4, 2), (16, 4, 3), (8, 3, 2), (8, 1, 1), (32, 4, 2), (12, 5, 1)])
+def test_every_pair_with_enough_matches_shares_a_key(positions, matches, key_bytes):
     rnd = random.Random(1)
-    for positions, matches, key_bytes in ((16, 4, 2), (16, 4, 3), (8, 3, 2), (8, 1, 2), (12, 5, 1)):
-        groups = simhash.position_keys(positions, matches, key_bytes)
-        for _ in range(300):
-            shared = set(rnd.sample(range(positions), matches))
-            assert any(shared >= set(g) for g in groups)
+    lists = simhash._Lists(positions, matches, key_bytes, 0)
+    keys = [{p, *rest} for p in lists.places for c in lists.classes if p in c for rest in combinations([q for q in c if q > p], key_bytes - 1)]
+    for _ in range(300):
+        shared = set(rnd.sample(range(positions), matches))
+        assert any(shared >= k for k in keys)
+
+
+def test_a_large_family_of_near_equal_fingerprints_is_joined_soon():
+    rng = np.random.default_rng(2)
+    n = 200_000
+    fp = np.tile(rng.integers(0, 2**63, 4, dtype=np.int64).view(np.uint64), (n, 1))
+    for _ in range(6):
+        fp[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(8, 64, n).astype(np.uint64)
+    lists = simhash._Lists(32, 4, 2, 28)
+    began = time.time()
+    first = next(x for x in lists.places)
+    joined = sum(len(i) for i, *_ in lists.pairs(first, np.zeros(n, np.int64), fp, None, False))
+    assert joined >= len(np.unique(fp, axis=0)) - 1 and time.time() - began < 60
 
 
 def test_near_awkward_rows(spark):
@@ -259,8 +268,10 @@ def test_near_awkward_rows(spark):
     assert got[(2, None)] == 1 and got[(None, None)] == 1 and got[(3, "")] == 1 and got[(4, "")] == 1
     assert got[(5, LONG)] == 1 and got[(6, LONG)] == 0
     assert got[(8, "other")] == 1
-    listed = sum(1 for _ in simhash.near_duplicates(docs).collect())
-    assert listed == docs.count() - kept.count()
+    listed = simhash.near_duplicates(docs).collect()
+    assert len(listed) - len({r.class_id for r in listed}) == docs.count() - kept.count()
+    renamed = simhash.near_duplicates(docs.withColumnRenamed("doc_id", "class_id"), id_col="class_id")
+    assert renamed.columns == ["class_id", "class_id_", "n_links"] and renamed.count() == len(listed)
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 

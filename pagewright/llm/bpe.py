@@ -211,7 +211,7 @@ class MergeReplay:
         return p[(number - start) % 2 == 0]
 
 
-_B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+_BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -228,7 +228,7 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _B1) -> np.ndarray:
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """A polynomial hash of each span, from one running sum."""
     up, down = _power_tables(base, len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
@@ -243,8 +243,9 @@ class Encoder:
         self.tokens = tokens
         self.split, self.merges = Pretokeniser(), MergeReplay(tokens)
 
-    def words(self, texts: list[str], known: dict[tuple[int, int], int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each pretoken's word number, and how many pretokens each text has."""
+    def words(self, texts: list[str], known: dict[str, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each pretoken's word number, and how many pretokens each text has. Hashes only gather what may be one word;
+        letters decide: all are compared with those of the first of their hash."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         joined = "".join(texts)
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -252,26 +253,29 @@ class Encoder:
         starts = self.split.starts(chars, begins[lengths > 0])
         ends = np.append(starts[1:], len(chars)) if len(starts) else starts
         counts = np.searchsorted(starts, begins + lengths) - np.searchsorted(starts, begins)
-        a, b = span_hashes(chars, starts, ends, _B1), span_hashes(chars, starts, ends, _B2)
-        both = a ^ (b * np.uint64(0xD6E8FEB86659FD93))
-        found, at, back = np.unique(both, return_index=True, return_inverse=True)
-        if (a[at][back] != a).any():  # two words of one hash: tell them apart by their letters
-            keys = [chars[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
-            first: dict[bytes, int] = {}
-            back = np.fromiter((first.setdefault(k, len(first)) for k in keys), np.int64, len(keys))
+        _, at, back = np.unique(span_hashes(chars, starts, ends), return_index=True, return_inverse=True)
+        sizes = ends - starts
+        other = starts[at][back]
+        # pretokens cover the text without a gap
+        same = bool((sizes == sizes[at][back]).all())
+        if not same or (chars != chars[np.arange(len(chars)) + np.repeat(other - starts, sizes)]).any():
+            spans = [joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+            first: dict[str, int] = {}
+            back = np.fromiter((first.setdefault(w, len(first)) for w in spans), np.int64, len(spans))
             at = np.unique(back, return_index=True)[1]
         numbers = np.empty(len(at), np.int64)
-        for i, (x, y, s, e) in enumerate(zip(a[at].tolist(), b[at].tolist(), starts[at].tolist(), ends[at].tolist())):
-            j = known.get((x, y))
+        for i, (s, e) in enumerate(zip(starts[at].tolist(), ends[at].tolist())):
+            word = joined[s:e]
+            j = known.get(word)
             if j is None:
-                j = known[x, y] = len(words)
-                words.append(joined[s:e].encode())
+                j = known[word] = len(words)
+                words.append(word.encode())
             numbers[i] = j
         return numbers[back].astype(np.int32), counts
 
     def block(self, batches: list[list[str | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each batch the tokens of its texts and how many each has."""
-        known: dict[tuple[int, int], int] = {}
+        known: dict[str, int] = {}
         words: list[bytes] = []
         parts = [self.words([t or "" for t in texts], known, words) for texts in batches]
         flat, offsets = self.merges.replay(words)

@@ -8,15 +8,16 @@ CRC-32 of its decoded symbols, and the block one of its payload.
 
 State: 32 bits in [2^16, 2^32); frequencies sum to 2^precision, precision at most 16; a symbol
 puts out one word at most. Symbols are numbered densely by the table, so that any 32-bit ids can be
-encoded as long as there are at most 2^precision different ones. Where no precision is asked for it is 14, or
-what more different ids need, up to 16: 65,536 ids, which all of operator 1's vocabulary (50,256) fits.
+encoded. Where no precision is asked for it is 14, or what more different ids need, up to 16: 65,536 ids, which all of operator
+1's vocabulary (50,256) fits. Of still more different ids the most frequent half as many keep symbols of their own; any
+other is an escape, counted like a symbol, and four symbols for its bytes.
 
 Tokens come as a list column, or as a text column: its ids are then its UTF-8 bytes, with no list being
 made of them.
 
 Defined cases: a null list is written as length -1 and comes back null, an empty one as 0; null ids
 within a list are refused; null row ids and repeated rows are kept; rows of no symbol make a block without payload;
-an empty table gives no blocks; an id that the table doesn't have is refused.
+an empty table gives no blocks; an id that the table doesn't have is refused, unless the table has escapes.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encode, release, slices
-from .common import col, materialise, projected
+from .common import col, finished, materialise, projected, scratch
 
 PRECISION, MOST_PRECISION, LANES, BLOCK_SYMBOLS, CHECKPOINT_STEPS = 14, 16, 1024, 4_000_000, 1024
 LOW = 1 << 16
+ESCAPE = 1 << 40  # not an id; the 256 numbers after it are the bytes that follow an escape
 
 
 @dataclass(frozen=True)
@@ -49,30 +51,74 @@ class FrequencyTable:
 
     @staticmethod
     def of(ids: np.ndarray, counts: np.ndarray, precision: int | None = None) -> FrequencyTable:
+        ids, counts = np.asarray(ids, np.int64), np.asarray(counts, np.float64)
         if precision is None:
             precision = min(max(PRECISION, int(len(ids) - 1).bit_length()), MOST_PRECISION)
-        order = np.argsort(ids)
-        ids, counts = np.asarray(ids, np.int64)[order], np.asarray(counts, np.float64)[order]
-        total, n = 1 << precision, len(ids)
+        total = 1 << precision
+        if len(ids) > total:
+            own = np.lexsort((ids, -counts))[: total // 2]
+            return FrequencyTable.escaping(ids[own], counts[own], np.delete(ids, own), np.delete(counts, own).sum(), precision)
+        return FrequencyTable._shared_out(ids, counts, precision)
+
+    @staticmethod
+    def escaping(ids: np.ndarray, counts: np.ndarray, others: np.ndarray | None, other_count: float, precision: int) -> FrequencyTable:
+        """A table of ids with their counts, and of escapes for all others (of which some may be given, for the counts of their bytes)."""
+        n, total = len(ids) + 257, 1 << precision
         if n > total:
-            raise ValueError(f"{n} different ids need a precision of at least {int(np.ceil(np.log2(n)))} bits")
+            raise ValueError(f"{n} symbols need a precision of at least {int(np.ceil(np.log2(n)))} bits")
+        parts = np.ones(256) if others is None else 1 + np.bincount(np.asarray(others, "<i4").view(np.uint8), minlength=256)
+        parts = parts / parts.sum() * 4 * max(other_count, 1)
+        return FrequencyTable._shared_out(np.concatenate((ids, ESCAPE + np.arange(257))), np.concatenate((counts, [max(other_count, 1)], parts)), precision)
+
+    @staticmethod
+    def _shared_out(ids: np.ndarray, counts: np.ndarray, precision: int) -> FrequencyTable:
+        order = np.argsort(ids)
+        ids, counts, total, n = ids[order], counts[order], 1 << precision, len(ids)
         if not n:
             return FrequencyTable(ids, np.zeros(0, np.int64), precision)
         freq = 1 + np.floor(counts / counts.sum() * (total - n)).astype(np.int64)
         most = np.argsort(-counts, kind="stable")
-        rest = total - int(freq.sum())  # less than n
+        rest = total - int(freq.sum())  # no more than n
         freq[most[:rest]] += 1
         return FrequencyTable(ids, freq, precision)
 
+    @property
+    def escapes(self) -> bool:
+        return bool(len(self.ids)) and int(self.ids[-1]) == ESCAPE + 256
+
     def numbers(self, ids: np.ndarray) -> np.ndarray:
-        out = np.empty(len(ids), np.uint32)
+        """Each id's symbol; an id without one gives five."""
+        out = []
         for a in range(0, len(ids), 500_000):  # work arrays stay small
             part = ids[a : a + 500_000]
             at = np.searchsorted(self.ids, part)
-            if not len(self.ids) or (self.ids[np.minimum(at, len(self.ids) - 1)] != part).any():
-                raise ValueError("the frequency table lacks an id")
-            out[a : a + len(part)] = at
-        return out
+            lacks = self.ids[np.minimum(at, len(self.ids) - 1)] != part if len(self.ids) else np.ones(len(part), bool)
+            if lacks.any():
+                if not self.escapes:
+                    raise ValueError("the frequency table lacks an id")
+                sizes = np.where(lacks, 5, 1)
+                first = np.cumsum(sizes) - sizes
+                wide = np.empty(int(sizes.sum()), np.int64)
+                wide[first] = np.where(lacks, len(self.ids) - 257, at)
+                digits = part[lacks].astype("<i4").view(np.uint8).reshape(-1, 4).astype(np.int64) + len(self.ids) - 256
+                wide[first[lacks][:, None] + np.arange(1, 5)] = digits
+                at = wide
+            out.append(at.astype(np.uint32))
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for, from the first symbol of one id to the last of another."""
+        if not len(numbers):
+            return np.zeros(0, np.int32)
+        if not self.escapes:
+            return self.ids[numbers].astype(np.int32)
+        at = np.nonzero(numbers == len(self.ids) - 257)[0]
+        digits = (numbers[at[:, None] + np.arange(1, 5)].astype(np.int64) - (len(self.ids) - 256)).astype(np.uint8)
+        ids = np.where(self.ids < ESCAPE, self.ids, 0)[numbers].astype(np.int32)
+        ids[at] = np.ascontiguousarray(digits).view("<i4")[:, 0]
+        keep = np.ones(len(numbers), bool)
+        keep[at[:, None] + np.arange(1, 5)] = False
+        return ids[keep]
 
 
 class Codec:
@@ -84,11 +130,10 @@ class Codec:
         self.most = ((table.freq.astype(np.uint64) << np.uint64(32 - table.precision)) - np.uint64(1)).astype(np.uint32)
         self.slot = np.repeat(np.arange(len(table.ids), dtype=np.uint32), table.freq)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """Payload, and the checkpoints: for each segment, from the first, the place of its words in the payload,
+    def encode(self, numbers: np.ndarray) -> tuple[bytes, bytes]:
+        """Symbols' payload, and the checkpoints: for each segment, from the first, the place of its words in the payload,
         the CRC-32 of its symbols, and the states to begin with."""
-        numbers = self.table.numbers(ids)
-        n, lanes, precision = len(ids), self.lanes, np.uint32(self.table.precision)
+        n, lanes, precision = len(numbers), self.lanes, np.uint32(self.table.precision)
         steps = -(-n // lanes)
         states = np.full(lanes, LOW, np.uint32)
         words: list[np.ndarray] = []
@@ -111,7 +156,7 @@ class Codec:
         payload = np.concatenate(words[::-1]).astype("<u2").tobytes() if words else b""
         out = []
         for t, after, x in reversed(marks):
-            part = ids[t * lanes : (t + self.every) * lanes].astype("<i4").tobytes()
+            part = numbers[t * lanes : (t + self.every) * lanes].astype("<u4").tobytes()
             out.append(struct.pack("<II", count - after, zlib.crc32(part)) + x.astype("<u4").tobytes())
         return payload, b"".join(out)
 
@@ -119,7 +164,7 @@ class Codec:
         return -(-n // (self.lanes * self.every))
 
     def decode(self, payload: bytes, checkpoints: bytes, n: int, first: int = 0, last: int | None = None) -> np.ndarray:
-        """The ids of segments first to last (all, if not given), each proved by its checksum."""
+        """The symbols of segments first to last (all, if not given), each proved by its checksum."""
         lanes, precision = self.lanes, np.uint32(self.table.precision)
         words = np.frombuffer(payload, "<u2").astype(np.uint32)
         size, mask = 8 + 4 * lanes, np.uint32((1 << self.table.precision) - 1)
@@ -143,11 +188,10 @@ class Codec:
                     x[need] = (x[need] << np.uint32(16)) | words[at : at + len(need)]
                     at += len(need)
                 states[:k] = x
-            ids = self.table.ids[numbers].astype(np.int32)
-            if zlib.crc32(ids.astype("<i4").tobytes()) != crc:
+            if zlib.crc32(numbers.astype("<u4").tobytes()) != crc:
                 raise ValueError(f"segment {g} doesn't agree with its checksum")
-            parts.append(ids)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            parts.append(numbers)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +207,8 @@ def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: int | None = None) -> FrequencyTable:
-    """The table of all tokens. Each task counts its own; what comes to the driver is a row for each
-    different id, of which there are 2^precision at most (2^16, if no precision is given)."""
+    """The table of all tokens. Each task counts its own; at most 2^precision different ids (2^16, if no precision is given) come to
+    the driver, the most frequent ones, and the count of all others together."""
 
     def count(batches):
         release()
@@ -176,8 +220,17 @@ def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: in
                     total[v] = total.get(v, 0) + c
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
 
-    rows = tokens.select(col(tokens_col)).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).limit((1 << (precision or MOST_PRECISION)) + 1).collect()
-    return FrequencyTable.of(np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows]), precision)
+    counts = tokens.select(col(tokens_col)).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    most = 1 << (precision or MOST_PRECISION)
+    with scratch(tokens.sparkSession):
+        counts, _ = materialise(counts, "rans-counts")
+        rows = counts.orderBy(F.desc("n"), "id").limit(most + 1).collect()
+        ids, own = np.array([r["id"] for r in rows], np.int64), np.array([r["n"] for r in rows])
+        if len(ids) <= most:
+            return FrequencyTable.of(ids, own, precision)
+        half = most // 2
+        rest = counts.agg(F.sum("n")).first()[0] - own[:half].sum()
+    return FrequencyTable.escaping(ids[:half], own[:half], ids[half:], rest, precision or MOST_PRECISION)
 
 
 def _lots(batch: pa.RecordBatch, at: int):
@@ -211,6 +264,7 @@ def encode_blocks(
             t = pa.Table.from_batches(held).combine_chunks()
             parts = [_symbols(c) for c in t.column(1).chunks]
             lengths, symbols = (np.concatenate(x) for x in zip(*parts))
+            symbols = codec.table.numbers(symbols)
             payload, checkpoints = codec.encode(symbols)
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             columns = [one(t.column(0).combine_chunks()), one(pa.array(lengths, pa.int32())), pa.array([len(symbols)], pa.int32()), pa.array([payload]), pa.array([checkpoints]), pa.array([zlib.crc32(checkpoints, zlib.crc32(payload))])]
@@ -249,7 +303,7 @@ def decode_blocks(blocks: DataFrame, table: FrequencyTable, id_col: str = "doc_i
                 payload, checkpoints = payload[0].as_py(), checkpoints[0].as_py()
                 if zlib.crc32(checkpoints, zlib.crc32(payload)) != crc[0].as_py():
                     raise ValueError("a block doesn't agree with its checksum")
-                symbols = codec.decode(payload, checkpoints, n[0].as_py())
+                symbols = codec.table.ids_of(codec.decode(payload, checkpoints, n[0].as_py()))
                 lengths = lengths.flatten().to_numpy()
                 offsets = np.concatenate(([0], np.cumsum(np.maximum(lengths, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(lengths < 0, False)), pa.array(symbols))
@@ -260,5 +314,9 @@ def decode_blocks(blocks: DataFrame, table: FrequencyTable, id_col: str = "doc_i
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids by operator 1 as rANS blocks. The tokens are written once: counting and coding both read them."""
-    tokens, _ = materialise(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_tokens"), "rans-tokens")
-    return encode_blocks(tokens, frequency_table(tokens, precision=MOST_PRECISION))
+
+    def make() -> DataFrame:
+        tokens, _ = materialise(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_tokens"), "rans-tokens")
+        return encode_blocks(tokens, frequency_table(tokens, precision=MOST_PRECISION))
+
+    return finished(spark, make, "rans-blocks")

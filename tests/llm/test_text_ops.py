@@ -74,6 +74,21 @@ def test_merge_replay_agrees_with_merging_each_word():
         assert flat[offsets[k] : offsets[k + 1]].tolist() == naive_merge(w, ranks)
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_that_polynomial_hashes_confuse_are_told_apart(n):
+    tokens, known = reference()
+    pair = [thue_morse(n, 0), thue_morse(n, 1)]
+    want = [known.encode_ordinary(t) for t in pair]
+    encoder = bpe.Encoder(tokens)
+    assert encoder.encode([" ".join(pair), *pair]) == [known.encode_ordinary(" ".join(pair)), *want]
+    blocks = encoder.block([[pair[0]], [pair[1]]])
+    assert [t.tolist() for t, _ in blocks] == want
+
+
 def test_bpe_round_trip_and_awkward_rows(spark):
     docs = awkward(spark)
     got = bpe.encode(docs, check_round_trip=True, block_chars=1000)
@@ -96,21 +111,22 @@ def test_rans_round_trip_by_segments(n, lanes, every, kinds, precision):
     ids = (rng.zipf(1.3, n) % kinds * 7).astype(np.int32)
     values, counts = np.unique(ids, return_counts=True) if n else (np.array([3]), np.array([1]))
     codec = rans.Codec(rans.FrequencyTable.of(values, counts, precision), lanes, every)
-    payload, checkpoints = codec.encode(ids)
-    assert (codec.decode(payload, checkpoints, n) == ids).all()
+    payload, checkpoints = codec.encode(codec.table.numbers(ids))
+    decoded = lambda *g: codec.table.ids_of(codec.decode(payload, checkpoints, n, *g))
+    assert (decoded() == ids).all()
     for g in range(codec.segments(n)):  # each on its own
-        assert (codec.decode(payload, checkpoints, n, g, g + 1) == ids[g * lanes * every : (g + 1) * lanes * every]).all()
+        assert (decoded(g, g + 1) == ids[g * lanes * every : (g + 1) * lanes * every]).all()
 
 
 def test_rans_compresses_near_the_entropy_and_notices_damage():
     ids = np.random.default_rng(1).integers(0, 4, 200_000).astype(np.int32)
     codec = rans.Codec(rans.FrequencyTable.of(*np.unique(ids, return_counts=True)), 64, 10_000)
-    payload, checkpoints = codec.encode(ids)
+    payload, checkpoints = codec.encode(codec.table.numbers(ids))
     assert len(payload) < 1.01 * len(ids) / 4
     with pytest.raises(ValueError, match="checksum"):
         codec.decode(bytes([payload[0] ^ 1]) + payload[1:], checkpoints, len(ids))
     with pytest.raises(ValueError, match="lacks"):
-        codec.encode(np.array([9]))
+        codec.table.numbers(np.array([9]))
 
 
 def test_rans_tables(spark):
@@ -140,6 +156,47 @@ def test_rans_takes_more_ids_than_fourteen_bits(spark):
     assert whole.precision == 16 and whole.freq.min() == 1 and whole.freq.sum() == 1 << 16
 
 
+def scalar_rans(numbers, freq, precision, lanes):
+    """The payload's words by a coder of one symbol at a time."""
+    start = np.concatenate(([0], np.cumsum(freq))).tolist()
+    states, words = [1 << 16] * lanes, []
+    steps = -(-len(numbers) // lanes)
+    for t in range(steps - 1, -1, -1):
+        out = []
+        for lane, s in enumerate(numbers[t * lanes : (t + 1) * lanes]):
+            x, f = states[lane], int(freq[s])
+            if x >= f << (32 - precision):
+                out.append(x & 0xFFFF)
+                x >>= 16
+            states[lane] = (x // f << precision) + x % f + int(start[s])
+        words = out + words
+    return words, states
+
+
+@pytest.mark.parametrize("n,kinds,lanes", [(1, 1, 1), (500, 3, 4), (3000, 400, 7), (2000, 70_000, 16)])
+def test_rans_agrees_with_a_coder_of_one_symbol_at_a_time(n, kinds, lanes):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, kinds, n).astype(np.int32)
+    table = rans.FrequencyTable.of(np.arange(kinds), np.bincount(ids, minlength=kinds) + 1)
+    numbers = table.numbers(ids)
+    payload, checkpoints = rans.Codec(table, lanes, 10**6).encode(numbers)
+    words, states = scalar_rans(numbers.tolist(), table.freq, table.precision, lanes)
+    assert np.frombuffer(payload, "<u2").tolist() == words and np.frombuffer(checkpoints, "<u4", lanes, 8).tolist() == states
+
+
+@pytest.mark.parametrize("kinds", [60_000, 100_000])
+def test_rans_escapes_ids_beyond_the_table(spark, kinds):
+    ids = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: ((F.col("id") * 1000 + k) % kinds - 5).cast("int"))
+    tokens = spark.range(kinds // 1000 + 20).select(F.col("id").alias("doc_id"), ids.alias("tokens"))
+    table = rans.frequency_table(tokens)
+    assert table.escapes == (kinds > 65_536) and table.freq.sum() == 1 << 16 and table.freq.min() > 0
+    back = rans.decode_blocks(rans.encode_blocks(tokens, table, lanes=16, block_symbols=30_000, checkpoint_steps=50), table, lanes=16, checkpoint_steps=50)
+    assert {r.doc_id: r.tokens for r in back.collect()} == {r.doc_id: r.tokens for r in tokens.collect()}
+    whole = rans.FrequencyTable.of(np.arange(kinds), np.arange(kinds) + 1)
+    seen = np.array([0, kinds - 1, 5, -(2**31), 2**31 - 1] if whole.escapes else [0, kinds - 1, 5])
+    assert whole.ids_of(whole.numbers(seen)).tolist() == seen.tolist()
+
+
 def test_op7_codes_the_tokens_of_the_vocabulary(spark):
     folder = "/root/testdata/sf0.001"
     want = {r.doc_id: r.tokens for r in bpe.op1_bpe(spark, folder).collect()}

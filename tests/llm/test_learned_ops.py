@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagewright.llm import mih, packing, quality, toxicity
@@ -124,7 +125,7 @@ def test_neighbours_recall(spark, clusters, block):
         x = x * 0.4 + rng.standard_normal((clusters, 24)).astype(np.float32)[rng.integers(0, clusters, 700)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {}
-    for r in mih.nearest_neighbours(df, block=block, rounds=3).collect():
+    for r in mih.nearest_neighbours(df, queries=F.lit(True), block=block, rounds=3).collect():
         got.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id, r.similarity))
     want, s = exact(x, 10)
     assert np.mean([len({n for _, n, _ in got.get(i, [])} & set(want[i])) / 10 for i in range(700)]) >= 0.95
@@ -142,32 +143,60 @@ def test_neighbours_of_vectors_with_a_large_common_mean(spark, block):
     assert np.linalg.norm((x / np.linalg.norm(x, axis=1, keepdims=True)).mean(0)) > 0.9
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {}
-    for r in mih.nearest_neighbours(df, block=block, rounds=3).collect():
+    for r in mih.nearest_neighbours(df, queries=F.lit(True), block=block, rounds=3).collect():
         got.setdefault(r.vec_id, set()).add(r.neighbour_id)
     want, _ = exact(x, 10)
     assert [len(got.get(i, ())) for i in range(700)] == [10] * 700
     assert np.mean([len(got[i] & set(want[i])) / 10 for i in range(700)]) >= 0.95
 
 
-def test_probing_finds_every_code_within_the_radius():
+def test_probing_finds_every_code_within_the_radius_and_only_what_its_substrings_reach():
     rng = np.random.default_rng(5)
     items = rng.integers(0, 256, (500, 8), dtype=np.uint8)
-    queries = items[:60] ^ (rng.random((60, 8)) < 0.5) * rng.integers(0, 256, (60, 8), dtype=np.uint8)
+    queries = items[:60] ^ (rng.random((60, 8)) < 0.4) * rng.integers(0, 256, (60, 8), dtype=np.uint8)
+    index = mih.SubstringIndex(items)
     distance = np.bitwise_count(queries[:, None] ^ items[None]).sum(2)
-    for radius in (0, 3, 7, 8, 13, 40, 64):
-        r = np.full(60, radius)
-        r[::3] = radius // 2
-        found = mih.ByteIndexes(items, int(r.max())).probe(queries, r)
-        assert found[distance <= r[:, None]].all()
-        bytes_within = (np.bitwise_count(queries[:, None] ^ items[None]) <= (r[:, None] // 8 - (np.arange(8) > (r % 8)[:, None]))[:, None, :]).any(2)
-        assert (found == bytes_within).all()
+    apart = np.bitwise_count(queries.view("<u2")[:, None] ^ items.view("<u2")[None])
+    for radius in (0, 3, 4, 7, 11, 13, 22):
+        q, i = index.candidates(queries, radius)
+        found = np.zeros(distance.shape, bool)
+        found[q, i] = True
+        assert found.sum() == len(q) and found[distance <= radius].all()
+        assert (found == (apart <= radius // 4 - (np.arange(4) > radius % 4)).any(2)).all()
+        assert index.values(radius) == sum(len(mih.ball(r)) for r in index.reach(radius) if r >= 0)
+
+
+def test_near_neighbours_cost_a_few_comparisons_each():
+    rng = np.random.default_rng(6)
+    n, k = 20_000, 10
+    x = rng.standard_normal((n // 40, 48))[rng.integers(0, n // 40, n)] + rng.standard_normal((n, 48)) * 0.06
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    mean, turns = mih.learn_rotations(x[:4000], 256, 3)
+    codes = np.packbits((x - mean) @ turns > 0, axis=1, bitorder="little")
+    block = mih.Block(x, codes, np.arange(n), mean, 256, k, 2.0)
+    q = np.arange(0, n, 20)
+    found = list(block.probe(x[q], codes[q], q, mih.FIRST_RADIUS))
+    a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    want = np.argsort(-np.where(q[:, None] == np.arange(n), -2, x[q] @ x.T), axis=1)[:, :k]
+    got = [set(b[a == i]) for i in range(len(q))]
+    assert np.mean([len(g & set(w)) / k for g, w in zip(got, want)]) >= 0.95
+    assert block.by_code < 0.02 * n * len(q) and block.by_cosine <= block.by_code
+
+
+def test_queries_are_every_twentieth_id(spark):
+    x = np.random.default_rng(9).standard_normal((400, 16)).astype(np.float32)
+    rows = [(i, v.tolist(), str(i)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, rank array<float>, name string")
+    got = mih.nearest_neighbours(df, k=3, vector_col="rank")
+    assert {r.vec_id for r in got.collect()} == set(range(0, 400, 20)) and got.count() == 60
+    assert 0 < len({r.name for r in mih.nearest_neighbours(df, k=3, id_col="name", vector_col="rank").collect()}) < 60
 
 
 def test_neighbours_awkward_rows(spark):
     rows = [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, None, "x"), (3, [float("nan"), 1.0], "x"), (4, [1.0], "x"), (None, [0.0, 2.0], "x"), (5, [0.0, 0.0], "x"), (6, [None, 1.0], "x"), (7, [1.0, 1.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, num string")
     got = {}
-    for r in mih.nearest_neighbours(df, k=10).collect():
+    for r in mih.nearest_neighbours(df, k=10, queries=F.lit(True)).collect():
         got.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id, round(r.similarity, 3)))
     assert set(got) == {1, None, 5, 7} and len(got[1]) == 8 and (1, 1, 1.0) in got[1]
     assert sorted(got[None])[0] == (1, 7, 0.707) and all(s == 0 for _, _, s in got[5])

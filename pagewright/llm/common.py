@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,19 +67,48 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def finished(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
-    """make()'s result as a table in the shared folder; what was written on the way to it is deleted."""
+def finished_at(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> tuple[DataFrame, str]:
+    """make()'s result as a table in the shared folder, and its path; what was written on the way to it is deleted."""
     path = fresh_path(spark, tag)
     with scratch(spark):
         made = make()
         made.write.parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+    return spark.read.schema(made.schema).parquet(path), path
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    return finished_at(spark, make, tag)[0]
+
+
+def value_cuts(df: DataFrame, value: Column, levels: int) -> list:
+    """The values at which the running count of rows, in the order of the value, passes a multiple of 1 / levels, in that
+    order; the greatest value is the last. Nulls count, as the least value. No more than `levels` values come to the driver."""
+    spark = df.sparkSession
+    counts = df.select(value.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    # written, so that the ranges stay; their numbers are in the order of the values
+    ranged, path = materialise(counts.repartitionByRange(F.col("v").asc_nulls_first()).withColumn("range", F.spark_partition_id()), "values")
+    total, starts = 0, []
+    for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():
+        starts.append((r["range"], total))
+        total += r["n"]
+    cuts = []
+    if total:
+        upto = F.sum("n").over(Window.partitionBy("range").orderBy(F.col("v").asc_nulls_first())) + F.col("start")
+        run = ranged.join(F.broadcast(spark.createDataFrame(starts, "range int, start long")), "range").select("v", "n", upto.alias("upto"))
+        passed = run.where((F.floor(F.col("upto") * levels / total) > F.floor((F.col("upto") - F.col("n")) * levels / total)) & F.col("v").isNotNull())
+        cuts = [r["v"] for r in passed.orderBy("upto").select("v").collect()]
+    discard(spark, [path])
+    return cuts
 
 
 def fresh(columns: Iterable[str], base: str) -> str:
     """A column name that the table doesn't have yet (names are compared without case)."""
     taken = {c.lower() for c in columns}
-    name = f"_pw_{base}"
+    return unused(f"_pw_{base}", taken)
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """A name, with as many underscores at its end as it takes to be none of those that are taken (in lower case)."""
     while name.lower() in taken:
         name += "_"
     return name
@@ -93,13 +122,3 @@ def col(name: str) -> Column:
 def projected(df: DataFrame, **columns: str | None) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns can't clash."""
     return df.select(*(col(c).alias(k) for k, c in columns.items() if c is not None))
-
-
-SENT_BYTES = 32 << 20
-
-
-def lookup_side(df: DataFrame, limit_bytes: int = SENT_BYTES) -> DataFrame:
-    """The smaller side of a join: sent to all executors if its files are small enough, else hashed and
-    shuffled like the other side."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size * 3 <= limit_bytes else df.hint("shuffle_hash")

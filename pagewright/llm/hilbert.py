@@ -2,27 +2,27 @@
 
 Each metadata dimension is quantised to 2^bits levels of about equal numbers of rows, by quantiles over all rows;
 strings are cut by their whole values, whose rows are counted in ranges of the sorted distinct values. The cell's place on the Hilbert curve comes from a
-table of all 2^(bits * dimensions) cells, which is of fixed size and sent to the executors with each
-cell's shard. Runs of cells are cut into shards of about `shard_bytes`; a cell that is larger alone is
+table of the cells that hold rows, which is sent to the executors with each cell's shard. It has 2^20 rows at most: with more
+dimensions than `bits` allow for that, each gets fewer bits (four get 5, five get 4, up to twenty). Runs of cells are cut into shards of about `shard_bytes`; a cell that is larger alone is
 dealt to several shards by a hash of the id. The rows of a shard are written together, in the order of the
 curve: a file then spans little of every dimension, which its minima and maxima tell a reader.
 
 Defined cases: a null dimension counts as the least value; null and empty texts have no bytes, but one for the
 row; ties share a cell; repeated rows share a shard; if the table has a column of a name that is
-added, the added one gets an underscore at its end; an empty table gives an empty table.
+added, the added one gets underscores at its end until it has none; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, discard, fresh, materialise
+from .common import col, fresh, unused, value_cuts
 
-BITS, SHARD_BYTES, MOST_BITS = 5, 64 << 20, 18
+BITS, SHARD_BYTES, MOST_BITS = 5, 64 << 20, 20
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -67,39 +67,18 @@ def _value(docs: DataFrame, name: str) -> Column:
     return col(name).cast("double")
 
 
-def _text_cuts(docs: DataFrame, name: str, levels: int) -> list[bytes]:
-    """The values at which the running count of rows, in the order of the whole values, passes a multiple of 1 / levels. Nulls
-    count, as the least value. No more than `levels` values come to the driver."""
-    spark = docs.sparkSession
-    counts = docs.select(_value(docs, name).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    # written, so that the ranges stay; their numbers are in the order of the values
-    ranged, path = materialise(counts.repartitionByRange(F.col("v").asc_nulls_first()).withColumn("range", F.spark_partition_id()), "hilbert-values")
-    total, starts = 0, []
-    for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():
-        starts.append((r["range"], total))
-        total += r["n"]
-    if not total:
-        return []
-    upto = F.sum("n").over(Window.partitionBy("range").orderBy(F.col("v").asc_nulls_first())) + F.col("start")
-    run = ranged.join(F.broadcast(spark.createDataFrame(starts, "range int, start long")), "range").select("v", "n", upto.alias("upto"))
-    passed = run.where((F.floor(F.col("upto") * levels / total) > F.floor((F.col("upto") - F.col("n")) * levels / total)) & F.col("v").isNotNull())
-    cuts = [bytes(r["v"]) for r in passed.select("v").collect()]
-    discard(spark, [path])
-    return cuts
-
-
 def shard(
     docs: DataFrame, dimensions: list[str], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """docs with hilbert and shard_id, each shard's rows together and in the order of the curve."""
-    if not dimensions or bits * len(dimensions) > MOST_BITS:
-        raise ValueError(f"bits times dimensions must be from 1 to {MOST_BITS}")
-    spark = docs.sparkSession
+    if not 0 < len(dimensions) <= MOST_BITS or not 0 < bits <= 10:
+        raise ValueError(f"there must be from 1 to {MOST_BITS} dimensions, of 1 to 10 bits each")
+    spark, bits = docs.sparkSession, min(bits, MOST_BITS // len(dimensions))
     levels = 1 << bits
     asked = [k / levels for k in range(1, levels)]
     quantiles = [F.percentile_approx(_value(docs, d), asked, 10_000).alias(f"d{i}") for i, d in enumerate(dimensions) if not _is_text(docs, d)]
     found = docs.agg(*quantiles).first().asDict() if quantiles else {}
-    cuts = [_text_cuts(docs, d, levels) if _is_text(docs, d) else found[f"d{i}"] for i, d in enumerate(dimensions)]
+    cuts = [[bytes(v) for v in value_cuts(docs, _value(docs, d), levels)] if _is_text(docs, d) else found[f"d{i}"] for i, d in enumerate(dimensions)]
     key, size = fresh(docs.columns, "cell"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)) + 1
     cell = F.lit(0)
     for d, c in zip(dimensions, cuts):
@@ -109,21 +88,21 @@ def shard(
             level = level + F.when(v > k, 1).otherwise(0)
         cell = cell * levels + level
     tagged = docs.withColumn(key, cell.cast("int"))
-    grid = np.indices((levels,) * len(dimensions)).reshape(len(dimensions), -1).T
-    place = hilbert_index(grid, bits)
-    weight = np.zeros(len(grid))
-    for r in tagged.groupBy(key).agg(F.sum(size).alias("b")).collect():  # one row for each cell, of which there are 2^18 at most
-        weight[r[key]] = r["b"]
-    first, parts = _runs(weight[np.argsort(place)], shard_bytes)
+    rows = tagged.groupBy(key).agg(F.sum(size).alias("b")).collect()  # one for each cell that holds rows
+    cells = np.array([r[key] for r in rows], np.int64)
+    place = hilbert_index(np.stack([cells >> bits * k & levels - 1 for k in range(len(dimensions) - 1, -1, -1)], 1), bits)
+    order = np.argsort(place)
+    first, parts = np.zeros((2, len(cells)), np.int64)
+    first[order], parts[order] = _runs(np.array([r["b"] for r in rows], float)[order], shard_bytes)
     c, h, f, n = (fresh(docs.columns, x) for x in ("of", "place", "first", "parts"))
-    table = pd.DataFrame({c: np.arange(len(grid), dtype=np.int32), h: place, f: first[place], n: parts[place]})
+    table = pd.DataFrame({c: cells.astype(np.int32), h: place, f: first, n: parts})
     taken = {x.lower() for x in docs.columns}
-    names = [x + "_" * (x in taken) for x in ("hilbert", "shard_id")]
-    places = F.broadcast(spark.createDataFrame(table[weight > 0], f"{c} int, {h} long, {f} long, {n} long"))
+    names = [unused(x, taken) for x in ("hilbert", "shard_id")]
+    places = F.broadcast(spark.createDataFrame(table, f"{c} int, {h} long, {f} long, {n} long"))
     within = F.pmod(F.xxhash64(col(id_col)), F.col(n))
     out = tagged.join(places, F.col(key) == F.col(c)).select(*(col(x) for x in docs.columns), F.col(h).alias(names[0]), (F.col(f) + within).alias(names[1]))
     # a task for each shard: hashing the number would bring some together
-    return out.repartitionById(int((first + parts).max()), F.col(names[1]).cast("int")).sortWithinPartitions(names[1], names[0], col(id_col))
+    return out.repartitionById(int((first + parts).max(initial=1)), F.col(names[1]).cast("int")).sortWithinPartitions(names[1], names[0], col(id_col))
 
 
 def _runs(weight: np.ndarray, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:

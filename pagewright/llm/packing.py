@@ -11,7 +11,8 @@ Only (number, size) moves; texts stay where they are, and the result names each
 start and size.
 
 Defined cases: null and empty texts need no room and aren't listed; a null id is carried as it is; each of
-several equal rows is packed; extra columns play no part; an empty table gives an empty table.
+several equal rows is packed; extra columns play no part; an id column of an added name keeps it, and the added one gets
+an underscore; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, discard, materialise
+from .common import col, discard, finished, materialise
 
 CAPACITY, NEARLY, GROUP_ITEMS, FAN_IN = 32_768, 0.98, 50_000, 8
 
@@ -126,9 +127,11 @@ def pack(
     all_bins, _ = materialise(all_bins.withColumn("bin_id", F.monotonically_increasing_id()), "pack-all")
     discard(spark, paths)
     placed = all_bins.select("bin_id", F.posexplode("items").alias("place", "item"))
-    return placed.join(pieces, "item").select("bin_id", "place", F.col("id").alias(id_col), "start", "size")
+    name = lambda x: x + "_" * (x == id_col.lower())
+    out = placed.join(pieces, "item")
+    return out.select(*(F.col(x).alias(name(x)) for x in ("bin_id", "place")), F.col("id").alias(id_col), *(F.col(x).alias(name(x)) for x in ("start", "size")))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into bins of 32 KiB."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return finished(spark, lambda: pack(spark.read.parquet(f"{sf_dir}/documents.parquet")), "packed")

@@ -3,11 +3,12 @@
 A document's score is linear in features of its whole text. Pairs (better, worse) of labelled
 documents teach the weights: the logistic loss of the difference of their features, so that
 sigmoid(score difference) is the probability that one is preferred. The threshold is a quantile of the scores of
-all documents; its level is the share of all labelled documents that score below the cut that parts the
-fitted sample best, and it never rises above that cut.
+all documents. Its level is the share of all labelled documents that score below the cut that parts the
+fitted sample best, less `errors` standard errors of that share, so that chance in who is labelled rejects no good documents.
 
 The weights are fitted on the driver to at most `max_labelled` labelled documents drawn by a hash of
-their id. Scores, their quantile and the level cover all rows.
+their id. Scores, their quantile and the level cover all rows. Every row is scored once: what is kept is chosen by the scores that the
+quantile was taken from.
 
 Defined cases: null and empty texts score as a text without any letter, and a null text is dropped
 where junk is; labels that are null or of no document play no part; without labels of both kinds everything is kept;
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import col, discard, materialise, projected
+from .common import finished, fresh, materialise, projected
 
-MAX_LABELLED = 4_000
+MAX_LABELLED, ERRORS = 4_000, 2.0
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOUD = b"!#$%&*|<>{}\\^~=@"
 
@@ -99,54 +100,75 @@ def _cut(score: np.ndarray, good: np.ndarray) -> float:
     return float((s[k - 1] + s[k]) / 2) if k < len(s) else float(s[-1])
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return projected(labels, lid=id_col, y=label_col).where("lid is not null and y is not null").groupBy("lid").agg(F.max("y").alias("y"))
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED,
 ) -> QualityModel:
-    """The model of at most max_labelled labelled documents, its threshold set by all documents."""
-    known = projected(labels, lid=id_col, y=label_col).where("lid is not null and y is not null").groupBy("lid").agg(F.max("y").alias("y"))
+    """The model of at most max_labelled labelled documents, without a threshold."""
     texts = projected(docs, id=id_col, text=text_col)
-    drawn = known.join(texts.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi").orderBy(F.xxhash64("lid"), "lid").limit(max_labelled)
+    here = texts.select(F.col("id").alias("lid")).distinct()
+    drawn = _known(labels, id_col, label_col).join(here, "lid", "left_semi").orderBy(F.xxhash64("lid"), "lid").limit(max_labelled)
     rows = texts.join(F.broadcast(drawn), texts["id"] == drawn["lid"]).select("lid", "text", "y").dropDuplicates(["lid"]).collect()
     rows.sort(key=lambda r: str(r["lid"]))
-    model = fit([r["text"] for r in rows], np.array([r["y"] == 1 for r in rows], bool))
+    return fit([r["text"] for r in rows], np.array([r["y"] == 1 for r in rows], bool))
+
+
+def with_threshold(
+    model: QualityModel, scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", score_col: str = "score", errors: float = ERRORS,
+) -> QualityModel:
+    """The model with its threshold, a quantile of the scores of all rows of a scored table."""
     if model.cut == -np.inf:
         return model
-    scored, path = materialise(score(docs, model, id_col, text_col), "quality-scores")
-    level = scored.join(known, scored[id_col] == known["lid"]).agg(F.avg(F.when(F.col("score") < model.cut, 1.0).otherwise(0.0))).first()[0]
-    found = scored.agg(F.percentile_approx("score", float(level or 0.0), 100_000)).first()[0] if level else None
-    discard(docs.sparkSession, [path])
-    return replace(model, threshold=-np.inf if found is None else min(found, model.cut))
+    known, own = _known(labels, id_col, label_col), projected(scored, id=id_col, s=score_col)
+    below, n = own.join(known, own["id"] == known["lid"]).agg(F.avg(F.when(F.col("s") < model.cut, 1.0).otherwise(0.0)), F.count("*")).first()
+    level = max(below - errors * np.sqrt(below * (1 - below) / n), 0.0) if n else 0.0
+    found = own.agg(F.percentile_approx("s", float(level), 100_000)).first()[0] if level else None
+    return replace(model, threshold=-np.inf if found is None else found)
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row."""
-    source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+def _scoring(docs: DataFrame, model: QualityModel, text_col: str, score_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField(id_col, source.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema, T.StructField(score_col, T.DoubleType())])
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole, 1, 8_000_000):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1).to_pylist()))], names=schema.names)
+            for b in slices(whole, at, 8_000_000):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column(at).to_pylist()))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs at or above the threshold, all columns kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """(id, score) of every row. If the id column has the score's name, the score gets an underscore."""
+    name = score_col + "_" * (id_col.lower() == score_col.lower())
+    out = _scoring(projected(docs, id=id_col, text=text_col), model, "text", "s")
+    return out.select(F.col("id").alias(id_col), F.col("s").alias(name))
 
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, at, 8_000_000):
-                yield b.filter(pa.array(shared.value.scores(b.column(at).to_pylist()) >= shared.value.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED,
+) -> DataFrame:
+    """The rows of docs at or above the threshold, all columns kept. They are written with their scores, and then chosen."""
+    model = train(docs, labels, id_col, text_col, label_col, max_labelled)
+    if model.cut == -np.inf:
+        return docs
+    own = fresh(docs.columns, "score")
+    scored, _ = materialise(_scoring(docs, model, text_col, own), "quality-scored")
+    model = with_threshold(model, scored, labels, id_col, label_col, own)
+    return scored.where(F.col(own) >= F.lit(float(model.threshold))).drop(own)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score) of all documents that are kept."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    model = train(docs, labels)
-    return score(docs, model).where(F.col("score") >= F.lit(float(model.threshold)))
+
+    def make() -> DataFrame:
+        docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+        model = train(docs, labels)
+        scored, _ = materialise(score(docs, model), "quality-scores")
+        return scored.where(F.col("score") >= F.lit(float(with_threshold(model, scored, labels).threshold)))
+
+    return finished(spark, make, "quality")

@@ -5,11 +5,11 @@ one group, those that stand alone are finished, and rows whose text ended within
 to each other. Windows grow eightfold from level to level, so that a long text needs few levels. No
 digest decides anything: groups are split by the bytes themselves.
 
-A level counts windows first, added up where the rows lie; then the rows meet the shared windows in a
-hash join, whose skewed partitions can be split. Before the first level's join, a bitmap of fixed size (16 MB,
-sent to all executors) with a bit for each shared window leaves out most rows that stand alone, so that their texts
-never move; it proves nothing, and when the shared windows are many it only leaves out fewer. Rows that survive a level are
-written to the shared folder.
+A level counts windows first, added up where the rows lie; then the rows meet the shared windows in one
+hash join, whose skewed partitions can be split, and are written to the shared folder with what they met. Before the first level's join, a
+bitmap of fixed size (16 MB, sent to all executors) with a bit for each shared window leaves out most rows that stand alone, so that their texts
+never move. It proves nothing: the more windows are shared, the fewer it leaves out, and from some 10^8 shared windows on every text
+moves once.
 
 Defined cases: rows with a null text are kept; empty texts are equal to each other; among equal texts
 the least id is kept, null ids come last, and of rows equal in text and id any one stays; extra columns
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, materialise, projected
+from .common import col, finished, fresh, materialise, projected
 
 FIRST_WINDOW, GROWTH, FILTER_BITS = 256, 8, 1 << 27
 _PAGE = 32_768  # bits of one bitmap
@@ -54,18 +54,18 @@ def _levels(rows: DataFrame, text: Column, group: str, digit: str) -> tuple[list
         shared = here.groupBy(group, digit).agg(F.count("*").alias("n")).where("n > 1")
         shared = shared.select(F.col(group).alias(g0), F.col(digit).alias(d0), F.monotonically_increasing_id().alias(g1))
         shared, _ = materialise(shared, "radix-shared")  # written, so that the numbers stay
-        lookup = shared.hint("shuffle_hash")
+        if shared.isEmpty():
+            alone.append(here.drop(group, digit))
+            return alone, equal
         if at == 1:  # most rows of the whole table stand alone: they stay where they are
             here = _maybe_shared(here, digit, shared.select(F.col(d0).alias("d0")), digit + "f")
             alone.append(here.where(~F.col(digit + "f")).drop(group, digit, digit + "f"))
             here = here.where(F.col(digit + "f")).drop(digit + "f")
-        match = (here[group] == shared[g0]) & (here[digit] == shared[d0])
-        alone.append(here.join(lookup, match, "left_anti").drop(group, digit))
-        if shared.isEmpty():
-            return alone, equal
-        met = here.join(lookup, match).drop(group, g0, d0).withColumnRenamed(g1, group)
-        met = met.withColumn(digit, F.length(digit) < window)
+        met = here.join(shared.hint("shuffle_hash"), (here[group] == shared[g0]) & (here[digit] == shared[d0]), "left")
+        met = met.drop(group, g0, d0).withColumnRenamed(g1, group).withColumn(digit, F.length(digit) < window)
         met, _ = materialise(met, "radix-rows")
+        alone.append(met.where(F.col(group).isNull()).drop(group, digit))
+        met = met.where(F.col(group).isNotNull())
         equal.append(met.where(F.col(digit)).drop(digit))
         now = met.where(~F.col(digit)).drop(digit)
         at += window
@@ -77,16 +77,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kept_id): every row whose text an other row that is kept has."""
+    """(id, kept_id): every row whose text an other row that is kept has. An id column called kept_id keeps its name, and the added one
+    gets an underscore."""
+    kept_id = "kept_id" + "_" * (id_col.lower() == "kept_id")
     rows = projected(docs, id=id_col, text=text_col)
     _, equal = _levels(rows, F.col("text"), "g", "d")
     if not equal:
-        return rows.where("false").select(F.col("id").alias(id_col), F.col("id").alias("kept_id"))
+        return rows.where("false").select(F.col("id").alias(id_col), F.col("id").alias(kept_id))
     numbered = _union([e.select("id", "g", F.lit(k).alias("level")) for k, e in enumerate(equal)])
     heads = numbered.groupBy("level", "g").agg(F.min("id").alias("kept"), F.count("*").alias("rows"))
     per_id = numbered.groupBy("level", "g", "id").agg(F.count("*").alias("n")).join(heads, ["level", "g"])
     listed = per_id.withColumn("n", F.col("n") - F.when(F.col("id").eqNullSafe(F.col("kept")), 1).otherwise(0)).where("n > 0")
-    return listed.select(F.col("id").alias(id_col), F.col("kept").alias("kept_id"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+    return listed.select(F.col("id").alias(id_col), F.col("kept").alias(kept_id), F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,4 +115,4 @@ FROM (
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_id) of every document whose text a kept one has."""
-    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return finished(spark, lambda: exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")), "exact-duplicates")

@@ -1,5 +1,6 @@
 """BPE, rANS, exact, near and line dedup against brute force, and the cases that are defined apart."""
 
+import os
 import random
 import time
 from collections import Counter
@@ -368,6 +369,42 @@ def test_runs_are_compacted_and_closed(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+def test_a_run_is_one_sorted_file_a_bucket_and_joins_need_no_sort(spark):
+    dedup = lines.LineDedup(spark, buckets=4, fanout=3)
+    for k in range(3):
+        dedup.add(frame(spark, [(100 * k + i, f"line {k} {i}\nshared") for i in range(60)]))
+    assert [len(level) for level in dedup.levels] == [0, 1]
+    (name, path), = dedup.levels[1]
+    assert len([f for f in os.listdir(path.removeprefix("file:").replace("//", "/")) if f.endswith(".parquet")]) == 4
+    assert spark.table(name).count() == 181
+    dedup.add(frame(spark, [(900, "one more")]))
+    with lines._sorted_runs(spark):
+        plan = dedup._met(dedup._lines(frame(spark, [(901, "line 0 0\nx")]).select(F.col("doc_id").alias("id"), "text")))._jdf.queryExecution().executedPlan().toString()
+    dedup.close()
+    assert plan.count("SortMergeJoin") >= 2 and plan.count("Scan parquet") >= 2
+    below = [plan.splitlines()[k - 4 : k] for k, line in enumerate(plan.splitlines()) if "Scan parquet" in line and "line_run" in line]
+    assert len(below) == 2 and not any("Sort [" in x or "Exchange" in x for lot in below for x in lot[1:])
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "binary"])
+def test_lines_with_ids_of_other_types(spark, kind):
+    rows = [(i, f"a\nonly {i}\nb {i % 5}") for i in range(40)]
+    df = frame(spark, rows).withColumn("doc_id", F.format_string("doc-%03d", "doc_id") if kind != "timestamp" else F.timestamp_seconds("doc_id")).withColumn("doc_id", F.col("doc_id").cast(kind))
+    df = df.withColumn("n_dropped", F.lit("theirs")).withColumn("N_DROPPED_", F.lit(1))
+    assert len(lines.batch_conditions(df, "doc_id", 4)) == (1 if kind == "binary" else 4)
+    got = lines.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_dropped__"]
+    assert sorted((int(r.text.split("only ")[1].split("\n")[0]), r.text, r["n_dropped__"]) for r in got.collect()) == line_brute(rows)
+
+
+def test_batches_are_ranges_that_the_scan_takes(spark, tmp_path):
+    frame(spark, [(i, "x") for i in range(100)]).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    parts = [docs.where(c) for c in lines.batch_conditions(docs, "doc_id", 4)]
+    assert [p.count() for p in parts] == [25] * 4
+    assert all("LessThanOrEqual(doc_id" in p._jdf.queryExecution().executedPlan().toString() for p in parts[:3])
+
+
 def test_line_awkward_rows(spark):
     docs = awkward(spark)
     got = lines.dedup_lines(docs)
@@ -449,6 +486,91 @@ def test_the_curve_visits_each_cell_once_and_steps_to_neighbours(dims, bits):
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def walk(dims, bits):
+    """The cells of a Hilbert curve in their order, cell by cell: Gray codes, each turned into the frame of its parent."""
+    n = dims
+
+    def rotate(x, k):
+        k %= n
+        return ((x >> k) | (x << (n - k))) & ((1 << n) - 1)
+
+    gray = lambda i: i ^ (i >> 1)
+    trailing = lambda i: (~i & (i + 1)).bit_length() - 1
+    out = []
+
+    def visit(level, entry, direction, corner):
+        if level < 0:
+            out.append(tuple(corner))
+            return
+        for w in range(1 << n):
+            cell = rotate(gray(w), n - 1 - direction) ^ entry if False else ((gray(w) << (direction + 1)) | (gray(w) >> (n - direction - 1))) & ((1 << n) - 1)
+            cell ^= entry
+            e = 0 if w == 0 else gray(2 * ((w - 1) // 2))
+            d = 0 if w == 0 else trailing(w - 1) % n if w % 2 == 0 else trailing(w) % n
+            turned = ((e << (direction + 1)) | (e >> (n - direction - 1))) & ((1 << n) - 1)
+            visit(level - 1, entry ^ turned, (direction + d + 1) % n, [c | ((cell >> k & 1) << level) for k, c in enumerate(corner)])
+
+    visit(bits - 1, 0, 0, [0] * n)
+    return out
+
+
+@pytest.mark.parametrize("dims,bits", [(2, 1), (2, 4), (3, 2), (3, 3)])
+def test_the_curve_fills_each_half_before_the_next_like_a_recursive_one(dims, bits):
+    recursive = walk(dims, bits)
+    grid = np.array(recursive)
+    place = hilbert.hilbert_index(grid, bits)
+    path = grid[np.argsort(place)]
+    for cells in (grid, path):  # both step to neighbours, and fill each block of every level before the next one
+        assert (np.abs(np.diff(cells, axis=0)).sum(1) == 1).all()
+        for level in range(1, bits):
+            block = [tuple(c) for c in cells >> level]
+            assert sum(a != b for a, b in zip(block, block[1:])) == (1 << dims * (bits - level)) - 1
+
+
+def test_cells_and_cuts_agree_with_plain_ones(spark):
+    rnd = random.Random(8)
+    rows = [(i, "x" * rnd.randint(0, 50), "pre" + rnd.choice("abcdefghijkl"), rnd.choice([None, 1.5, 2.5, rnd.random()])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, v double")
+    got = {r.doc_id: r for r in hilbert.shard(docs, ["source", "v"], bits=2, shard_bytes=900).collect()}
+
+    def levels(values):
+        known = sorted(values, key=lambda v: (v is not None, v if v is not None else 0))
+        return known
+
+    names = sorted(r[2] for r in rows)
+    cuts, total = [], 0
+    for value, n in sorted(Counter(names).items()):
+        if (total + n) * 4 // 300 > total * 4 // 300:
+            cuts.append(value)
+        total += n
+    numbers = sorted(r[3] for r in rows if r[3] is not None)
+    inner = [numbers[max(-(-len(numbers) * k // 4) - 1, 0)] for k in (1, 2, 3)]
+    cells = {r[0]: (sum(r[2] > c for c in cuts), 0 if r[3] is None else sum(r[3] > c for c in sorted(set(inner)))) for r in rows}
+    places = dict(zip(cells, hilbert.hilbert_index(np.array(list(cells.values())), 2).tolist()))
+    assert {i: r.hilbert for i, r in got.items()} == places
+    shard, filled, of = 0, 0, {}
+    for place in sorted(set(places.values())):
+        size = sum(len(rows[i][1]) + 1 for i in places if places[i] == place)
+        if size >= 900:
+            shard += filled > 0
+            of[place] = set(range(shard, shard - (-size // 900)))
+            shard, filled = max(of[place]) + 1, 0
+            continue
+        if filled and filled + size > 900:
+            shard, filled = shard + 1, 0
+        of[place] = {shard}
+        filled += size
+    assert all(r.shard_id in of[r.hilbert] for r in got.values())
+
+
+def test_many_dimensions_get_fewer_bits_and_no_name_clashes(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), *((F.col("id") * p % 7).alias(f"k{p}") for p in range(1, 7)), *(F.lit(1).alias(x) for x in ("shard_id", "SHARD_ID_", "hilbert", "hilbert_", "hilbert__")))
+    for n in (4, 6):
+        out = hilbert.shard(docs, [f"k{p}" for p in range(1, n + 1)], shard_bytes=300)
+        assert out.columns == [*docs.columns, "hilbert___", "shard_id__"] and out.count() == 200
+        assert 3 <= out.select("shard_id__").distinct().count() <= 200
+
+
 def test_shards(spark):
     rnd = random.Random(3)
     rows = [(i, "x" * rnd.randint(1, 200), rnd.choice("abcdefgh"), rnd.random()) for i in range(600)]

@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import ctypes
 from collections import defaultdict
+from dataclasses import dataclass
 from heapq import heappop, heappush
 
 import numpy as np
@@ -110,6 +111,8 @@ class MergeReplay:
                 if left is not None and right is not None:
                     keys.append(left * self.size + right)
                     merged.append(rank)
+        # only pairs of equal tokens can overlap, as in aaa
+        self.twice = {merged[i] for i, k in enumerate(keys) if k % (self.size + 1) == 0}
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int32)[order]
         edges = [0, 64, 128, 256, 512]
@@ -123,10 +126,8 @@ class MergeReplay:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.merged[at], NONE)
 
-    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all words in one array, and the offsets of the words in it."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
+    def replay(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words in one array, and the offsets of the words in it. raw: the bytes of all words."""
         n = len(raw)
         ends = np.cumsum(lengths)
         sym = self.bytes[raw]
@@ -160,7 +161,7 @@ class MergeReplay:
                 p = p[rank[p] == k]
                 if not len(p):
                     continue
-                if len(p) > 1:
+                if len(p) > 1 and k in self.twice:
                     p = self._apart(np.sort(p), nxt)
                 q = nxt[p]
                 sym[p] = k
@@ -195,7 +196,7 @@ class MergeReplay:
                             heappush(heap, j)
                         index[j].append(part)
         kept = np.cumsum(alive)
-        offsets = np.zeros(len(words) + 1, np.int64)
+        offsets = np.zeros(len(lengths) + 1, np.int64)
         offsets[1:] = np.where(ends > 0, kept[np.maximum(ends, 1) - 1], 0) if n else 0
         return sym[alive], offsets
 
@@ -236,6 +237,35 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (total[ends] - total[starts]) * down[starts]
 
 
+def _spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of some spans, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def _distinct(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of spans that cover all values without a gap: the distinct ones' hashes and places, and which of them each span is."""
+    found, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+    first = at[back]
+    if (sizes == sizes[first]).all() and (values == values[np.arange(len(values)) + np.repeat(starts[first] - starts, sizes)]).all():
+        return found, at, back
+    keys: dict[bytes, int] = {}  # different spans of one hash: by their values
+    back = np.fromiter((keys.setdefault(values[s : s + n].tobytes(), len(keys)) for s, n in zip(starts.tolist(), sizes.tolist())), np.int64, len(starts))
+    at = np.unique(back, return_index=True)[1]
+    return hashes[at], at, back
+
+
+@dataclass(frozen=True)
+class Words:
+    """The distinct words of some texts (hashes, letters and sizes), the word of each pretoken and the number of pretokens of each text."""
+
+    hashes: np.ndarray
+    letters: np.ndarray
+    sizes: np.ndarray
+    used: np.ndarray
+    counts: np.ndarray
+
+
 class Encoder:
     """Encodes a task's share of the corpus, block by block."""
 
@@ -243,46 +273,33 @@ class Encoder:
         self.tokens = tokens
         self.split, self.merges = Pretokeniser(), MergeReplay(tokens)
 
-    def words(self, texts: list[str], known: dict[str, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each pretoken's word number, and how many pretokens each text has. Hashes only gather what may be one word;
+    def words(self, texts: list[str]) -> Words:
+        """The pretokens of some texts, and which of their distinct words each is. Hashes only gather what may be one word;
         letters decide: all are compared with those of the first of their hash."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        joined = "".join(texts)
-        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         begins = np.cumsum(lengths) - lengths
         starts = self.split.starts(chars, begins[lengths > 0])
-        ends = np.append(starts[1:], len(chars)) if len(starts) else starts
+        sizes = np.diff(np.append(starts, len(chars))) if len(starts) else starts
         counts = np.searchsorted(starts, begins + lengths) - np.searchsorted(starts, begins)
-        _, at, back = np.unique(span_hashes(chars, starts, ends), return_index=True, return_inverse=True)
-        sizes = ends - starts
-        other = starts[at][back]
-        # pretokens cover the text without a gap
-        same = bool((sizes == sizes[at][back]).all())
-        if not same or (chars != chars[np.arange(len(chars)) + np.repeat(other - starts, sizes)]).any():
-            spans = [joined[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-            first: dict[str, int] = {}
-            back = np.fromiter((first.setdefault(w, len(first)) for w in spans), np.int64, len(spans))
-            at = np.unique(back, return_index=True)[1]
-        numbers = np.empty(len(at), np.int64)
-        for i, (s, e) in enumerate(zip(starts[at].tolist(), ends[at].tolist())):
-            word = joined[s:e]
-            j = known.get(word)
-            if j is None:
-                j = known[word] = len(words)
-                words.append(word.encode())
-            numbers[i] = j
-        return numbers[back].astype(np.int32), counts
+        hashes, at, back = _distinct(chars, starts, sizes, span_hashes(chars, starts, starts + sizes))
+        return Words(hashes, _spans(chars, starts[at], sizes[at]), sizes[at], back.astype(np.int32), counts)
 
     def block(self, batches: list[list[str | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each batch the tokens of its texts and how many each has."""
-        known: dict[str, int] = {}
-        words: list[bytes] = []
-        parts = [self.words([t or "" for t in texts], known, words) for texts in batches]
-        flat, offsets = self.merges.replay(words)
-        sizes = np.diff(offsets)
-        out = []
-        for used, counts in parts:
-            out.append(_gather(flat, offsets[:-1], sizes, used, counts))
+        parts = [self.words([t or "" for t in texts]) for texts in batches]
+        letters, sizes = (np.concatenate(x) for x in zip(*((p.letters, p.sizes) for p in parts)))
+        starts = np.cumsum(sizes) - sizes
+        _, at, number = _distinct(letters, starts, sizes, np.concatenate([p.hashes for p in parts]))
+        distinct, sizes = _spans(letters, starts[at], sizes[at]), sizes[at]
+        ends = np.concatenate(([0], np.cumsum(1 + (distinct >= 0x80) + (distinct >= 0x800) + (distinct >= 0x10000))))
+        raw = np.frombuffer(distinct.tobytes().decode("utf-32-le").encode(), np.uint8)
+        flat, offsets = self.merges.replay(raw, np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))]))
+        out, first = [], 0
+        for p in parts:
+            used = number[first + p.used].astype(np.int32)
+            out.append(_gather(flat, offsets[:-1], np.diff(offsets), used, p.counts))
+            first += len(p.sizes)
         return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -341,23 +358,28 @@ def release() -> None:
 
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY,
-    block_chars: int = 24_000_000, check_round_trip: bool = False,
+    block_chars: int = 32_000_000, check_round_trip: bool = False, packed: bool = False,
 ) -> DataFrame:
     """(id, tokens array<int>, n_tokens) of every row; with check_round_trip also whether decoding
-    gives the text again. The vocabulary is read on the driver and sent out: its size is fixed."""
+    gives the text again; packed: tokens as binary, four little-endian bytes each. The vocabulary is read on the driver and sent out: its size is fixed."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     key = hash(vocabulary)
     source = projected(docs, id=id_col, text=text_col)
-    fields = [T.StructField(id_col, source.schema["id"].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]
+    fields = [T.StructField(id_col, source.schema["id"].dataType), T.StructField("tokens", T.BinaryType() if packed else T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]
     if check_round_trip:
         fields.append(T.StructField("round_trip", T.BooleanType()))
     names = [f.name for f in fields]
 
     def out(batch: pa.RecordBatch, tokens: np.ndarray, counts: np.ndarray, vocabulary: list[bytes]) -> pa.RecordBatch:
         missing = np.asarray(batch.column(1).is_null())
-        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.append(missing, False))
-        columns = [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(tokens)), pa.array(counts.astype(np.int32))]
+        ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        if packed:
+            data = [pa.array(~missing).buffers()[1], pa.py_buffer(ends * np.int32(4)), pa.py_buffer(tokens.astype("<i4"))]
+            lists = pa.Array.from_buffers(pa.binary(), len(counts), data)
+        else:
+            lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(missing, False)), pa.array(tokens))
+        columns = [batch.column(0), lists, pa.array(counts.astype(np.int32))]
         if check_round_trip:
             texts = batch.column(1).to_pylist()
             back = decode_tokens(vocabulary, tokens, counts)

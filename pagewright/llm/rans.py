@@ -12,8 +12,8 @@ encoded. Where no precision is asked for it is 14, or what more different ids ne
 1's vocabulary (50,256) fits. Of still more different ids the most frequent half as many keep symbols of their own; any
 other is an escape, counted like a symbol, and four symbols for its bytes.
 
-Tokens come as a list column, or as a text column: its ids are then its UTF-8 bytes, with no list being
-made of them.
+Tokens come as a list column, as a binary column of four little-endian bytes a token, or as a text column: its ids are
+then its UTF-8 bytes, with no list being made of them.
 
 Defined cases: a null list is written as length -1 and comes back null, an empty one as 0; null ids
 within a list are refused; null row ids and repeated rows are kept; rows of no symbol make a block without payload;
@@ -195,12 +195,19 @@ class Codec:
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """List lengths (-1: null) and all symbols. A text's symbols are its UTF-8 bytes."""
+    """List lengths (-1: null) and all ids. A text's ids are its UTF-8 bytes."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         flat = column.flatten()
         if flat.null_count:
             raise ValueError("a list holds a null id")
         return pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False), flat.to_numpy(zero_copy_only=False)
+    if pa.types.is_binary(column.type):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        lengths = pc.fill_null(pc.binary_length(column), -4).to_numpy(zero_copy_only=False) // 4
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, "<i4", len(column) + 1, column.offset * 4)
+        return lengths, np.frombuffer(data, "<i4", (ends[-1] - ends[0]) // 4, ends[0]) if data and ends[-1] > ends[0] else np.zeros(0, np.int32)
     raw = column.cast(pa.binary()).to_pylist()
     lengths = np.fromiter((-1 if x is None else len(x) for x in raw), np.int32, len(raw))
     return lengths, np.frombuffer(b"".join(x for x in raw if x), np.uint8)
@@ -234,7 +241,7 @@ def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: in
 
 
 def _lots(batch: pa.RecordBatch, at: int):
-    """Texts in lots of some megabytes; token lists as they come."""
+    """Texts and packed tokens in lots of some megabytes; token lists as they come."""
     return [batch] if pa.types.is_list(batch.column(at).type) else slices(batch, at, 4_000_000)
 
 
@@ -273,7 +280,8 @@ def encode_blocks(
         for b in batches:
             column = b.column(1)
             measure = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
-            total, at = np.cumsum(pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            sizes = pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total, at = np.cumsum(sizes // 4 if pa.types.is_binary(column.type) else sizes), 0
             while at < b.num_rows:
                 before = int(total[at - 1]) if at else 0
                 end = max(int(np.searchsorted(total, before + block_symbols - size, side="right")), at + (not held))
@@ -316,7 +324,7 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids by operator 1 as rANS blocks. The tokens are written once: counting and coding both read them."""
 
     def make() -> DataFrame:
-        tokens, _ = materialise(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_tokens"), "rans-tokens")
+        tokens, _ = materialise(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), packed=True).drop("n_tokens"), "rans-tokens")
         return encode_blocks(tokens, frequency_table(tokens, precision=MOST_PRECISION))
 
     return finished(spark, make, "rans-blocks")

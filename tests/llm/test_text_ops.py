@@ -70,7 +70,7 @@ def test_merge_replay_agrees_with_merging_each_word():
     ranks = {t: i for i, t in enumerate(tokens)}
     rnd = random.Random(8)
     words = [bytes(rnd.choices(b"aaabbc theing\xc3\xa9", k=rnd.randint(1, 40))) for _ in range(1500)] + [b"", b"z"]
-    flat, offsets = bpe.MergeReplay(tokens).replay(words)
+    flat, offsets = bpe.MergeReplay(tokens).replay(np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words))))
     for k, w in enumerate(words):
         assert flat[offsets[k] : offsets[k + 1]].tolist() == naive_merge(w, ranks)
 
@@ -207,6 +207,18 @@ def test_op7_codes_the_tokens_of_the_vocabulary(spark):
     assert {r.doc_id: r.tokens for r in rans.decode_blocks(blocks, table).collect()} == want
 
 
+def test_packed_tokens_are_the_same(spark):
+    docs = awkward(spark)
+    lists, packed = bpe.encode(docs), bpe.encode(docs, packed=True)
+    unpack = lambda x: None if x is None else np.frombuffer(bytes(x), "<i4").tolist()
+    rows = lambda df, f: Counter((r.doc_id, None if f(r.tokens) is None else tuple(f(r.tokens)), r.n_tokens) for r in df.collect())
+    assert rows(packed, unpack) == rows(lists, lambda x: x)
+    table = rans.frequency_table(packed)
+    assert (table.ids == rans.frequency_table(lists).ids).all()
+    back = rans.decode_blocks(rans.encode_blocks(packed, table, block_symbols=5000), table)
+    assert Counter((r.doc_id, None if r.tokens is None else tuple(r.tokens)) for r in back.collect()) == Counter((r.doc_id, None if r.tokens is None else tuple(r.tokens)) for r in lists.collect())
+
+
 # -- exact dedup
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import ctypes
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
 
@@ -138,7 +139,9 @@ class MergeReplay:
         alive = np.ones(n, bool)
         rank = np.full(n, NONE, np.int32)
         inner = np.nonzero(nxt >= 0)[0]
-        rank[inner] = self.ranks(sym[inner], sym[inner + 1])
+        for part in np.array_split(inner, len(inner) // 500_000 + 1):
+            rank[part] = self.ranks(sym[part], sym[part + 1])
+        del inner
         merging = np.zeros(n, bool)
         for low, high in self.windows:
             # the index of this window of ranks; a rank that a merge brings forth is above its own
@@ -238,16 +241,23 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 
 def _spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The values of some spans, one after another."""
-    ends = np.cumsum(sizes)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+    """The values of some spans, one after another; fewer than 2^31."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    return values[_places(starts - (ends - sizes), sizes)]
+
+
+def _places(shift: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from 0, each span's shifted by its own amount."""
+    out = np.repeat(shift.astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def _distinct(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of spans that cover all values without a gap: the distinct ones' hashes and places, and which of them each span is."""
     found, at, back = np.unique(hashes, return_index=True, return_inverse=True)
     first = at[back]
-    if (sizes == sizes[first]).all() and (values == values[np.arange(len(values)) + np.repeat(starts[first] - starts, sizes)]).all():
+    if (sizes == sizes[first]).all() and (values == values[_places(starts[first] - starts, sizes)]).all():
         return found, at, back
     keys: dict[bytes, int] = {}  # different spans of one hash: by their values
     back = np.fromiter((keys.setdefault(values[s : s + n].tobytes(), len(keys)) for s, n in zip(starts.tolist(), sizes.tolist())), np.int64, len(starts))
@@ -280,30 +290,35 @@ class Encoder:
         chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         begins = np.cumsum(lengths) - lengths
         starts = self.split.starts(chars, begins[lengths > 0])
-        sizes = np.diff(np.append(starts, len(chars))) if len(starts) else starts
+        sizes = np.diff(np.append(starts, len(chars))).astype(np.int32) if len(starts) else starts.astype(np.int32)
         counts = np.searchsorted(starts, begins + lengths) - np.searchsorted(starts, begins)
         hashes, at, back = _distinct(chars, starts, sizes, span_hashes(chars, starts, starts + sizes))
         return Words(hashes, _spans(chars, starts[at], sizes[at]), sizes[at], back.astype(np.int32), counts)
 
-    def block(self, batches: list[list[str | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each batch the tokens of its texts and how many each has."""
-        parts = [self.words([t or "" for t in texts]) for texts in batches]
-        letters, sizes = (np.concatenate(x) for x in zip(*((p.letters, p.sizes) for p in parts)))
-        starts = np.cumsum(sizes) - sizes
-        _, at, number = _distinct(letters, starts, sizes, np.concatenate([p.hashes for p in parts]))
-        distinct, sizes = _spans(letters, starts[at], sizes[at]), sizes[at]
+    def block(self, batches: Iterable[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each batch the tokens of its texts and how many each has. Texts are asked for and tokens given batch by batch."""
+        hashes, letters, sizes, used, counts = [], [], [], [], []
+        for texts in batches:
+            p = self.words([t or "" for t in texts])
+            for kept, x in zip((hashes, letters, sizes, used, counts), (p.hashes, p.letters, p.sizes, p.used, p.counts)):
+                kept.append(x)
+        firsts = np.cumsum([0, *map(len, sizes)])
+        joined, lengths = np.concatenate(letters), np.concatenate(sizes)
+        letters.clear()
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
+        _, at, number = _distinct(joined, starts, lengths, np.concatenate(hashes))
+        distinct, lengths, number = _spans(joined, starts[at], lengths[at]), lengths[at], number.astype(np.int32)
+        del joined, starts, hashes
         ends = np.concatenate(([0], np.cumsum(1 + (distinct >= 0x80) + (distinct >= 0x800) + (distinct >= 0x10000))))
         raw = np.frombuffer(distinct.tobytes().decode("utf-32-le").encode(), np.uint8)
-        flat, offsets = self.merges.replay(raw, np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))]))
-        out, first = [], 0
-        for p in parts:
-            used = number[first + p.used].astype(np.int32)
-            out.append(_gather(flat, offsets[:-1], np.diff(offsets), used, p.counts))
-            first += len(p.sizes)
-        return out
+        flat, offsets = self.merges.replay(raw, np.diff(ends[np.concatenate(([0], np.cumsum(lengths)))]))
+        del distinct, ends, raw
+        n = np.diff(offsets)
+        for first, of, per_text in zip(firsts, used, counts):
+            yield _gather(flat, offsets[:-1], n, number[first + of], per_text)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        tokens, counts = self.block([texts])[0]
+        tokens, counts = next(self.block([texts]))
         return [x.tolist() for x in np.split(tokens, np.cumsum(counts)[:-1])] if texts else []
 
 
@@ -350,6 +365,11 @@ def release() -> None:
     tasks of another kind that follow in the same worker."""
     for kept in (_encoders, _powers, _flat):
         kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc holds what was freed
     if trim:
@@ -393,8 +413,9 @@ def encode(
         size = 0
 
         def flush():
-            for batch, (tokens, counts) in zip(held, encoder.block([b.column(1).to_pylist() for b in held])):
+            for batch, (tokens, counts) in zip(held, encoder.block(b.column(1).to_pylist() for b in held)):
                 yield out(batch, tokens, counts, vocabulary)
+            give_back()
 
         for whole in batches:
             for batch in slices(whole, 1):

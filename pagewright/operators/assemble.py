@@ -24,9 +24,11 @@ def documents(pages: DataFrame, keys: list[str], number: str = "page_number", ma
 
 def element_pages(elements: DataFrame, keys: list[str], fallback: str | None = None) -> DataFrame:
     """(keys, page_idx, pos, kind, text, bbox) to pages: elements in their order, the non-empty texts joined; a page
-    without any takes the document's Markdown (the fallback column)."""
-    text = F.when(F.length("text") > 0, F.col("text"))
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("kind", F.lit("text")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "bbox")))
+    without any takes the document's Markdown (the fallback column). A row without pos is a page without elements."""
+    there = F.col("pos").isNotNull()
+    text = F.when(there & (F.length("text") > 0), F.col("text"))
+    element = F.struct("pos", F.coalesce("kind", F.lit("text")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "bbox")
+    rows = F.array_sort(F.collect_list(F.when(there, element)))
     whole = F.coalesce(F.first(F.col(fallback)), F.lit("")) if fallback else F.lit("")
     placed = elements.withColumn("page_idx", F.coalesce("page_idx", F.lit(0)).cast("int"))
     grouped = placed.groupBy(*keys, "page_idx").agg(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import time
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from ..functions.errors import classify
 from ..sources import sinks
 from ..sources.files import expand_inputs
 from ..sources.manifest import read_manifest
-from ..sources.readers import read_documents, read_pages
+from ..sources.readers import as_documents, read_pages
 from .metrics import document_metrics
 from .quality import quality_checks
 from .summary import batch_summary, benchmark_summary
@@ -22,50 +24,67 @@ from .summary import batch_summary, benchmark_summary
 ITEM_COLUMNS = ("source", "status", "output_path", "metrics", "error_type", "error_message", "engine", "started_at", "finished_at")
 
 
+def with_todo(listed: DataFrame, there: DataFrame) -> DataFrame:
+    """listed (name, ...) with todo: whether the output of that name is still to be made, as it isn't among those that are there."""
+    known = there.select("name", F.lit(True).alias("_there")).distinct()
+    return listed.join(known, "name", "left").withColumn("todo", F.col("_there").isNull()).drop("_there")
+
+
 def run_batch(
     spark: SparkSession, inputs, output_dir: str, engine: str = "simple", fmt: str = "markdown", collect_metrics: bool = True, *, fail_fast: bool = False, skip_existing: bool = False,
 ) -> tuple[DataFrame, dict]:
     """Items in order of source, and the summary; both are also written to output_dir. Each file's output is named by its
     stem, so that equal stems overwrite each other. A file that can't be read or written is a failed item, or with
-    fail_fast an error. A file's seconds are its share of the batch's, as files are read side by side. Output files
-    that exist are skipped by an anti join of the names."""
+    fail_fast an error. A file's seconds are those of its own reading, and a share of what the batch spends on all of them together. Output
+    files that exist are skipped by a join of the names.
+
+    Every file is unpacked once, to a table of pages below output_dir from which outputs, failures and metrics come; it is deleted at the
+    end. The items that are returned are read from what was written."""
     sources = expand_inputs(inputs, sort=True)
     os.makedirs(output_dir, exist_ok=True)
     began, started = time.perf_counter(), datetime.now(UTC).isoformat()
+    base = "file://" + os.path.abspath(output_dir)
+    work = f"{base}/.batch-{uuid.uuid4().hex}"
     listed = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "pos int, source string").withColumn("name", P.output_name(F.col("source"), fmt))
     there = spark.createDataFrame([(n,) for n in os.listdir(output_dir)] if skip_existing else [], "name string")
-    todo = listed.join(F.broadcast(there), "name", "left_anti")
-    paths = [r.source for r in todo.select("source").distinct().collect()]
-    docs = sinks.rendered(read_documents(spark, paths, engine), fmt).withColumn("output_path", P.output_name(F.col("source"), fmt))
-    bad = docs.where("error_class is not null")
-    written = sinks.write_documents(docs.where("error_class is null").select("source", "output_path", "output"), output_dir)
-    failed_writes = [r.asDict() for r in written.where("error_class is not null").collect()]
-    failures = bad.select("source", "error_class", "error_message").unionByName(
-        spark.createDataFrame([(r["output_path"], r["error_class"], r["error_message"]) for r in failed_writes], "name string, error_class string, error_message string")
-        .join(listed, "name").select("source", "error_class", "error_message")
-    )
-    found = failures.collect()
-    if fail_fast and found:
-        raise RuntimeError(f"{found[0].source}: {found[0].error_class}: {found[0].error_message}")
-    failures = spark.createDataFrame(found, failures.schema)
-    share = (time.perf_counter() - began) / max(len(paths), 1)
-    measured = document_metrics(read_pages(spark, paths, engine).where("page_number is not null"), ["source"], spark.createDataFrame([(p, share) for p in paths], "source string, elapsed_seconds double"))
-    metrics = measured.select("source", F.struct(*(c for c in measured.columns if c != "source")).alias("metrics"))
-    finished = datetime.now(UTC).isoformat()
-    state = listed.join(todo.select("pos", F.lit(True).alias("todo")), "pos", "left").join(failures, "source", "left").join(metrics, "source", "left")
-    status = F.when(F.col("todo").isNull(), "skipped").when(F.col("error_class").isNotNull(), "failed").otherwise("success")
-    ok = status == "success"
-    items = state.select(
-        "source", status.alias("status"), F.when(status != "failed", F.concat(F.lit(output_dir.rstrip("/") + "/"), "name")).alias("output_path"),
-        F.when(ok & F.lit(collect_metrics), F.col("metrics")).alias("metrics"), F.when(status == "failed", classify(F.col("error_class"), F.col("error_message"))).alias("error_type"),
-        "error_message", F.lit(engine).alias("engine"), F.lit(started).alias("started_at"), F.lit(finished).alias("finished_at"),
-    ).orderBy("source")
+    state = with_todo(listed, there)
+    paths = [r.source for r in state.where("todo").select("source").distinct().collect()]  # what the reader is told to open
+    try:
+        pages = _kept(read_pages(spark, paths, engine), f"{work}/pages")
+        docs = sinks.rendered(as_documents(pages, engine), fmt).withColumn("name", P.output_name(F.col("source"), fmt))
+        written = sinks.write_documents(docs.where("error_class is null").select("source", "name", "output"), output_dir, "name", keep="source")
+        failures = _kept(docs.where("error_class is not null").select("source", "error_class", "error_message").unionByName(
+            written.where("error_class is not null").select("source", "error_class", "error_message")), f"{work}/failures")
+        first = failures.orderBy("source").first() if fail_fast else None
+        if first:
+            raise RuntimeError(f"{first.source}: {first.error_class}: {first.error_message}")
+        seconds = pages.groupBy("source").agg(F.max("seconds").alias("own"))
+        share = max(time.perf_counter() - began - (seconds.agg(F.sum("own")).first()[0] or 0.0) / spark.sparkContext.defaultParallelism, 0.0) / max(len(paths), 1)
+        measured = document_metrics(pages.where("page_number is not null"), ["source"], seconds.select("source", (F.col("own") + share).alias("elapsed_seconds")))
+        metrics = measured.select("source", F.struct(*(c for c in measured.columns if c != "source")).alias("metrics"))
+        finished = datetime.now(UTC).isoformat()
+        state = state.join(failures, "source", "left").join(metrics, "source", "left")
+        status = F.when(~F.col("todo"), "skipped").when(F.col("error_class").isNotNull(), "failed").otherwise("success")
+        ok = status == "success"
+        items = state.select(
+            "source", status.alias("status"), F.when(status != "failed", F.concat(F.lit(output_dir.rstrip("/") + "/"), "name")).alias("output_path"),
+            F.when(ok & F.lit(collect_metrics), F.col("metrics")).alias("metrics"), F.when(status == "failed", classify(F.col("error_class"), F.col("error_message"))).alias("error_type"),
+            "error_message", F.lit(engine).alias("engine"), F.lit(started).alias("started_at"), F.lit(finished).alias("finished_at"),
+        ).orderBy("source")
+        sinks.write_jsonl(items, f"{base}/batch-results.jsonl")
+        items = spark.read.schema(items.schema).json(f"{base}/batch-results.jsonl").orderBy("source")
+    finally:
+        shutil.rmtree(work.removeprefix("file://"), ignore_errors=True)
     summary = batch_summary(items.select("source", "status", "metrics.page_count", "metrics.elapsed_seconds")).first().asDict(True)
-    sinks.write_jsonl(items, "file://" + os.path.abspath(os.path.join(output_dir, "batch-results.jsonl")))
     sinks.write_json(summary, os.path.join(output_dir, "batch-summary.json"))
     return items, summary
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_benchmark(spark: SparkSession, manifest: str, output_dir: str = "reports", engine: str | None = None, fmt: str = "json") -> tuple[DataFrame, dict]:
     """Each sample's status, metrics and checks, and the summary; both are also written to output_dir. All samples of an
     engine run as one batch; samples that share an output name share the file."""

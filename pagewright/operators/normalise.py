@@ -22,28 +22,45 @@ def reply_markdown(v: Column) -> Column:
     return F.coalesce(*(_string(v, f"$.{at}{n}") for at in ("", "result.") for n in _NAMES), F.lit(""))
 
 
+def _lists(v: Column, reply: Column) -> Column:
+    """The list of elements: at each level content_list, then content_list_v2, whichever first begins with an object or a list; else
+    the same one result deeper, as far as results go."""
+
+    def here(at: Column) -> Column:
+        found = []
+        for name in ("content_list", "content_list_v2"):
+            x = F.try_variant_get(at, f"$.{name}", "array<variant>")
+            kind = F.schema_of_variant(F.try_element_at(x, F.lit(1)))
+            found.append(F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), x))
+        return F.coalesce(*found)
+
+    none = F.lit(None).cast("array<variant>")
+    # a level deeper needs a key, which is written as such or with an escape
+    levels = F.sequence(F.lit(0), F.coalesce(F.regexp_count(reply, F.lit('"result"|\\\\u')), F.lit(0)))
+    step = lambda acc, _: F.struct(F.try_variant_get(acc["at"], "$.result", "variant").alias("at"), F.coalesce(acc["found"], here(acc["at"])).alias("found"))
+    return F.aggregate(levels, F.struct(v.alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
 def reply_elements(replies: DataFrame, keys: list[str], reply: str = "reply") -> DataFrame:
-    """(keys, pos, page_idx, kind, text, bbox) of all elements. A list of lists has a page's elements in each, an
-    element's own page index going first; the first list that isn't empty counts."""
-    lists = [F.try_variant_get(F.col("_v"), f"$.{at}{n}", "array<variant>") for at in ("", "result.", "result.result.") for n in ("content_list", "content_list_v2")]
-    found = F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists))
-    rows = replies.select(*keys, F.try_parse_json(F.col(reply)).alias("_v")).select(*keys, F.posexplode(found).alias("_i", "_e"))
-    inner = F.try_variant_get("_e", "$", "array<variant>")
-    nested = F.schema_of_variant("_e").startswith("ARRAY")
-    flat = rows.select(*keys, "_i", F.when(nested, F.col("_i")).alias("_outer"), F.posexplode(F.when(nested, inner).otherwise(F.array("_e"))).alias("_j", "_x"))
+    """(keys, whole, pos, page_idx, kind, text, bbox) of all elements, with the reply's Markdown; a reply without any has one row
+    without pos. A list of lists has a page's elements in each, an element's own page index going first; what isn't an object is no element."""
+    parsed = replies.select(*keys, F.col(reply).alias("_r"), F.try_parse_json(F.col(reply)).alias("_v"))
+    lists = parsed.select(*keys, reply_markdown(F.col("_v")).alias("whole"), _lists(F.col("_v"), F.col("_r")).alias("_l"))
+    one = lambda outer, x: F.struct(outer.cast("int").alias("outer"), x.alias("x"))
+    of = lambda e, i: F.transform(F.filter(F.try_variant_get(e, "$", "array<variant>"), lambda x: _is(x, "OBJECT")), lambda x: one(i, x))
+    objects = F.flatten(F.transform("_l", lambda e, i: F.when(_is(e, "ARRAY"), of(e, i)).when(_is(e, "OBJECT"), F.array(one(F.lit(None), e))).otherwise(F.array().cast("array<struct<outer:int,x:variant>>"))))
+    rows = lists.select(*keys, "whole", F.posexplode_outer(objects).alias("pos", "_o")).select("*", F.col("_o.x").alias("_x"))
     get = lambda path, kind: F.try_variant_get("_x", path, kind)
-    objects = flat.where(F.schema_of_variant("_x").startswith("OBJECT"))
-    return objects.select(
-        *keys, F.struct("_i", "_j").alias("pos"), F.coalesce(get("$.page_idx", "int"), F.col("_outer"), F.lit(0)).alias("page_idx"),
+    return rows.select(
+        *keys, "whole", "pos", F.coalesce(get("$.page_idx", "int"), F.col("_o.outer"), F.lit(0)).alias("page_idx"),
         F.coalesce(get("$.type", "string"), F.lit("text")).alias("kind"), F.coalesce(get("$.text", "string"), F.lit("")).alias("text"), get("$.bbox", "array<double>").alias("bbox"),
     )
 
 
 def reply_pages(replies: DataFrame, keys: list[str], reply: str = "reply") -> DataFrame:
-    """Pages of each reply; a reply without elements is one page of its Markdown."""
-    whole = replies.select(*keys, reply_markdown(F.try_parse_json(F.col(reply))).alias("_whole"))
-    elements = reply_elements(replies, keys, reply)
-    pages = element_pages(elements.join(whole, keys), keys, "_whole")
-    bare = whole.join(elements.select(*keys).distinct(), keys, "left_anti")
-    empty = F.array().cast("array<struct<kind:string,text:string,bbox:array<double>>>")
-    return pages.unionByName(bare.select(*keys, F.lit(1).alias("page_number"), F.col("_whole").alias("markdown_content"), F.lit("").alias("plain_text"), empty.alias("elements")))
+    """Pages of each reply; a reply without elements is one page of its Markdown. Replies are read once, and only elements move."""
+    return element_pages(reply_elements(replies, keys, reply), keys, "whole")

@@ -163,8 +163,15 @@ FROM events GROUP BY user_id""",
 SELECT doc_id, extension, CASE WHEN extension IN ('.docx', '.doc') THEN 'docx' WHEN extension IN ('.xlsx', '.xls') THEN 'excel' WHEN extension IN ('.md', '.txt') THEN 'text'
        WHEN extension IN ('.pdf', '.csv') THEN substr(extension, 2) ELSE 'unsupported' END AS family, stem || '.md' AS output
 FROM f""",
-    "marker_ranges": r"""WITH k AS (SELECT doc_id, doc_id % 6 AS k FROM documents)
-SELECT doc_id, (k + 3) || ',' || (k + 1) || ',' || (k + 3) || ',9' AS markers, 'a  b' AS clean, array_to_string(list_sort(list_distinct([1, k + 3, k + 1, 9])), ',') AS pages FROM k""",
+    "marker_ranges": r"""WITH t AS (SELECT doc_id, text, doc_id % 6 AS k, length(text) // 2 AS half FROM documents WHERE text IS NOT NULL),
+docs AS (
+  SELECT doc_id, '<!-- page_number: ' || (k + 3) || ' -->' || left(text, half) || '<!-- page_number: ' || (k + 1) || ' -->' || substr(text, half + 1)
+         || '<!-- page_number: ' || (k + 3) || ' -->' || text || '<!--page_number:  9-->' AS content FROM t
+)""" + _CHUNKS + r""",
+listed AS (SELECT doc_id, string_agg(array_to_string(page_list, ','), ';' ORDER BY chunk_index) AS pages FROM chunks GROUP BY doc_id)
+SELECT doc_id, array_to_string(regexp_extract_all(content, '<!--[\s]*page_number:[\s]*([0-9]+)[\s]*-->', 1), ',') AS markers,
+       trim(regexp_replace(content, '<!--[\s]*page_number:[\s]*[0-9]+[\s]*-->', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS clean, pages
+FROM docs JOIN listed USING (doc_id)""",
     "rates": r"""
 SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0.0::double ELSE round(round((event_id % 64) / ((event_id % 9) / 8), 4), 3) END AS rate, round(round((event_id % 64) / 64, 4), 3) AS ratio
 FROM events""",

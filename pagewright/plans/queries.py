@@ -16,6 +16,7 @@ from ..functions.errors import classify
 from ..functions.metrics import rate, ratio
 from ..functions.text import count_tables, marker_pages, page_marker, without_markers
 from ..operators.assemble import documents, element_pages, joined, quality_rollup
+from ..operators.batch import with_todo
 from ..operators.chunk import chunk
 from ..operators.metrics import document_metrics
 from ..operators.normalise import reply_pages
@@ -173,9 +174,11 @@ def benchmark_summary_row(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skip_existing(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = _t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels").select("doc_id")
-    todo = docs.join(labels, "doc_id", "left_anti").select("doc_id", F.lit("success").alias("status"))
-    return todo.unionByName(docs.join(labels, "doc_id", "left_semi").select("doc_id", F.lit("skipped").alias("status")))
+    """Documents as files of a batch whose output is there if they are labelled."""
+    listed = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("in/"), _s("doc_id"), F.lit(".pdf")).alias("source"))
+    listed = listed.withColumn("name", P.output_name(F.col("source"), "markdown"))
+    there = _t(spark, d, "labels").select(F.concat(_s("doc_id"), F.lit(".md")).alias("name"))
+    return with_todo(listed, there).select("doc_id", F.when(F.col("todo"), "success").otherwise("skipped").alias("status"))
 
 
 def element_page_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -221,14 +224,14 @@ def route_by_extension(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marker_ranges(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("t"))
-    k = F.pmod("doc_id", F.lit(6)).cast("int")
-    mark = lambda n: page_marker(n)
-    content = F.concat(F.lit(" a "), mark(k + 3), F.lit(" b\n"), mark(k + 1), mark(k + 3), F.lit("<!--page_number:  9-->"))
-    docs = docs.select("doc_id", content.alias("content"))
-    chunks = chunk(docs, ["doc_id"])
+    """Markers before, within, between and after two copies of each whole text: which they are, the text without them, and every chunk's pages."""
+    docs = _t(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    k, half = F.pmod("doc_id", F.lit(6)).cast("int"), (F.length("text") / 2).cast("int")
+    parts = [page_marker(k + 3), F.substring("text", F.lit(1), half), page_marker(k + 1), F.substring("text", half + 1, F.length("text")), page_marker(k + 3), "text", F.lit("<!--page_number:  9-->")]
+    docs = docs.select("doc_id", F.concat(*parts).alias("content"))
+    pages = chunk(docs, ["doc_id"]).groupBy("doc_id").agg(joined(F.col("chunk_index"), F.array_join("page_numbers", ","), ";").alias("pages"))
     both = docs.select("doc_id", F.array_join(marker_pages(F.col("content")), ",").alias("markers"), without_markers(F.col("content")).alias("clean"))
-    return both.join(chunks.select("doc_id", F.array_join("page_numbers", ",").alias("pages")), "doc_id")
+    return both.join(pages, "doc_id")
 
 
 def rates(spark: SparkSession, d: str) -> DataFrame:

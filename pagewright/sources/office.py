@@ -7,6 +7,8 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
+from typing import Any
 from xml.etree import ElementTree as ET
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -69,33 +71,60 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def xlsx_sheets(raw: bytes) -> Iterator[tuple[str, list[list[str | None]]]]:
-    """(name, rows of cells) of each sheet in the workbook's order; rows are as wide as the widest."""
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")) for f in root.iter(S + "numFmt")}
+    formats = root.find(S + "cellXfs")
+    used = [int(x.get("numFmtId", "0")) for x in formats] if formats is not None else []
+    dates = lambda k: 14 <= k <= 22 or 45 <= k <= 47 or bool(re.search("[ymdhs]", own.get(k, ""), re.IGNORECASE))
+    return {i for i, k in enumerate(used) if dates(k)}
+
+
+def _number(text: str) -> int | float:
+    value = float(text)
+    return int(value) if value.is_integer() and abs(value) < 2**53 else value
+
+
+def xlsx_sheets(raw: bytes) -> Iterator[tuple[str, list[list]]]:
+    """(name, rows of cells) of each sheet in the workbook's order; rows are as wide as the widest. Cells are text, numbers, truth values, dates
+    with their time, or None."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(S + "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(S + "si")]
         targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(S + "sheet"):
+        book, dates = ET.fromstring(z.read("xl/workbook.xml")), _date_styles(z)
+        about = book.find(S + "workbookPr")
+        zero = datetime(1904, 1, 1) if about is not None and about.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+        for sheet in book.iter(S + "sheet"):
             target = targets[sheet.get(R + "id")]
             path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-            rows: list[list[str | None]] = []
+            rows: list[list] = []
             for n, tr in enumerate(ET.fromstring(z.read(path)).iter(S + "row")):
                 at = int(tr.get("r", n + 1)) - 1
                 while len(rows) < at:
                     rows.append([])
-                row: list[str | None] = []
+                row: list = []
                 for k, c in enumerate(tr.findall(S + "c")):
                     j = _column(c.get("r")) if c.get("r") else k
                     row += [None] * (j - len(row))
                     v, kind = c.find(S + "v"), c.get("t")
-                    text = v.text if v is not None else None
+                    text: Any = v.text if v is not None else None
                     if kind == "s" and text is not None:
                         text = shared[int(text)]
                     elif kind == "inlineStr":
                         text = "".join(t.text or "" for t in c.iter(S + "t"))
                     elif kind == "b" and text is not None:
-                        text = "True" if text == "1" else "False"
+                        text = text == "1"
+                    elif kind == "d" and text is not None:
+                        text = datetime.fromisoformat(text)
+                    elif kind in (None, "n") and text is not None:
+                        text = _number(text)
+                        if int(c.get("s", "0")) in dates:
+                            text = zero + timedelta(seconds=round(text * 86400))
                     row.append(text)
                 rows.append(row)
             width = max(map(len, rows), default=0)

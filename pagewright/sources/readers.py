@@ -1,49 +1,84 @@
 """The readers: files to pages, an error being a row and not the end of the job.
 
-Python only turns office packages and PDF bytes into blocks and cells; all Markdown is rendered by Catalyst.
+Python only turns bytes into text, blocks and cells; all Markdown is rendered by Catalyst. A row of what Python gives is a page already, so
+that nothing is shuffled and each file is unpacked once.
 """
 
 from __future__ import annotations
 
-import csv
 import importlib
 import io
+import time
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import render as M
-from ..functions.text import unify_newlines
+from ..functions import text as T
+from ..operators.assemble import joined
 from .files import read_files
 from .office import docx_blocks, xlsx_sheets
 
-#: A part of a file: a paragraph or table of page 1 (docx), a sheet (its name and rows), a page (pdf).
+_TABLE = "array<array<string>>"
+#: A page as the readers give it: text, cells of a sheet (with its name) or blocks; of a file that can't be read one row without a number.
 _PARTS = (
-    "source string, part int, kind string, style string, text string, name string, rows array<array<string>>, tables array<array<array<string>>>, "
-    "error_class string, error_message string"
+    f"source string, filename string, extension string, page_number int, kind string, text string, name string, rows {_TABLE}, tables array<{_TABLE}>, "
+    f"blocks array<struct<kind:string,style:string,text:string,rows:{_TABLE}>>, error_class string, error_message string, seconds double"
 )
-_BLANK = dict.fromkeys(("part", "kind", "style", "text", "name", "rows", "tables", "error_class", "error_message"))
+_BLANK = dict.fromkeys(("page_number", "kind", "text", "name", "rows", "tables", "blocks", "error_class", "error_message"))
+
+
+def cell_texts(values: list) -> list[str]:
+    """A column's cells as a data frame would show them: numbers are whole only if the column has no gap and no fraction."""
+    there = [v for v in values if v is not None]
+    gap, number = len(there) < len(values), lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    if there and all(map(number, there)):
+        if not gap and all(isinstance(v, int) for v in there):
+            return [str(v) for v in values]
+        return ["nan" if v is None else f"{float(v):g}" for v in values]
+    none = "NaT" if there and all(isinstance(v, datetime) for v in there) else "nan"
+    return [none if v is None else str(v) for v in values]
+
+
+def _text(raw: bytes) -> Iterator[dict]:
+    yield {"kind": "text", "text": raw.decode("utf-8")}
 
 
 def _docx(raw: bytes) -> Iterator[dict]:
-    for kind, style, text, rows in docx_blocks(raw):
-        yield {"kind": kind, "style": style, "text": text, "rows": rows}
+    names = ("kind", "style", "text", "rows")
+    yield {"kind": "docx", "blocks": [dict(zip(names, b)) for b in docx_blocks(raw)]}
+
+
+def _frame(df: pd.DataFrame) -> list[list[str]]:
+    columns = [cell_texts([None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in df[c]]) for c in df.columns]
+    floats = [k for k, c in enumerate(df.columns) if df[c].dtype.kind == "f"]
+    for k in floats:  # a column of fractions that happen to be whole
+        columns[k] = ["nan" if pd.isna(v) else f"{v:g}" for v in df[df.columns[k]]]
+    return [[str(c) for c in df.columns], *map(list, zip(*columns))]
 
 
 def _excel(raw: bytes) -> Iterator[dict]:
-    for name, rows in xlsx_sheets(raw):
-        if rows:
-            head = [f"Unnamed: {k}" if c is None else c for k, c in enumerate(rows[0])]
-            rows = [head, *([("nan" if c is None else c) for c in r] for r in rows[1:])]
+    if raw[:4] == b"\xd0\xcf\x11\xe0":  # the older, binary kind
+        try:
+            importlib.import_module("xlrd")
+        except ImportError as e:
+            raise ImportError("xlrd is needed to read binary workbooks") from e
+        sheets = {n: _frame(df) for n, df in pd.read_excel(io.BytesIO(raw), sheet_name=None).items()}
+    else:
+        sheets = {}
+        for name, rows in xlsx_sheets(raw):
+            head = [f"Unnamed: {k}" if c is None else str(c) for k, c in enumerate(rows[0])] if rows else []
+            body = zip(*(cell_texts(list(c)) for c in zip(*rows[1:]))) if len(rows) > 1 else ()
+            sheets[name] = [head, *map(list, body)] if rows else []
+    for name, rows in sheets.items():
         yield {"kind": "sheet", "name": name, "rows": rows}
 
 
 def _csv(raw: bytes) -> Iterator[dict]:
-    rows = [r for r in csv.reader(io.StringIO(raw.decode("utf-8-sig"), newline="")) if r]
-    width = max(map(len, rows), default=0)
-    yield {"kind": "csv", "rows": [[c if c != "" else ("nan" if k else c) for c in r] + ["nan"] * (width - len(r)) for k, r in enumerate(rows)]}
+    yield {"kind": "csv", "rows": _frame(pd.read_csv(io.BytesIO(raw)))}
 
 
 def simple_pdf(raw: bytes) -> Iterator[dict]:
@@ -55,7 +90,7 @@ def simple_pdf(raw: bytes) -> Iterator[dict]:
     with pdf.open(io.BytesIO(raw)) as doc:
         for p in doc.pages:
             tables = [[["" if c is None else str(c) for c in row] for row in t] for t in (p.extract_tables() or []) if t]
-            yield {"kind": "page", "text": p.extract_text() or "", "tables": tables}
+            yield {"text": p.extract_text() or "", "tables": tables}
 
 
 def _missing(name: str) -> Callable[[bytes], Iterator[dict]]:
@@ -65,72 +100,91 @@ def _missing(name: str) -> Callable[[bytes], Iterator[dict]]:
     return run
 
 
-#: PDF engines by name: bytes to parts. The services behind the last four aren't part of this library.
+#: PDF engines by name: bytes to pages, each a dict of text and tables. The services behind the last four aren't part of this library.
 ENGINES: dict[str, Callable[[bytes], Iterator[dict]]] = {"simple": simple_pdf} | {n: _missing(n) for n in ("mineru", "vision_llm", "deepdoc", "paddle")}
 
 
+def register_engine(name: str, engine: Callable[[bytes], Iterator[dict]]) -> None:
+    """Let read_pages take a PDF engine by name. What it gives is checked page by page: a page that is no dict, or has other keys than
+    text and tables or values of other types, makes its file a failed row of class TypeError."""
+    if not callable(engine):
+        raise TypeError(f"PDF engine {name} is no callable")
+    ENGINES[name] = engine
+
+
+def _checked(name: str, pages: Iterator[dict]) -> Iterator[dict]:
+    for k, page in enumerate(pages):
+        if not isinstance(page, dict) or set(page) - {"text", "tables"} or not isinstance(page.get("text", ""), str):
+            raise TypeError(f"page {k + 1} of PDF engine {name} must be a dict of text and tables")
+        tables = page.get("tables") or []
+        if not all(isinstance(t, (list, tuple)) and all(isinstance(r, (list, tuple)) for r in t) for t in tables):
+            raise TypeError(f"the tables of page {k + 1} of PDF engine {name} must be lists of rows")
+        yield {"kind": "page", "text": page.get("text", ""), "tables": [[["" if c is None else str(c) for c in r] for r in t] for t in tables]}
+
+
 def _parts(files: DataFrame, engine: str) -> DataFrame:
-    readers = {"docx": _docx, "excel": _excel, "csv": _csv, "pdf": ENGINES[engine]}
+    run_engine = ENGINES[engine]
+    readers = {"text": _text, "docx": _docx, "excel": _excel, "csv": _csv, "pdf": lambda raw: _checked(engine, run_engine(raw))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for source, family, raw in zip(batch["source"], batch["family"], batch["content"]):
-                out: list[dict] = []
+            for source, filename, extension, family, raw in batch.itertuples(index=False):
+                about, out, began = {"source": source, "filename": filename, "extension": extension}, [], time.perf_counter()
                 try:
-                    out = [_BLANK | part | {"source": source, "part": k} for k, part in enumerate(readers[family](raw))]
-                    out = out or [_BLANK | {"source": source, "part": 0, "kind": "empty"}]
+                    if family is None:
+                        raise ValueError(f"Unsupported file extension: {extension}")
+                    out = [_BLANK | part | about | {"page_number": k + 1} for k, part in enumerate(readers[family](raw))]
                 except Exception as e:  # a file that can't be read is a failed row
-                    out = [_BLANK | {"source": source, "part": 0, "kind": "error", "error_class": type(e).__name__, "error_message": str(e)}]
-                yield pd.DataFrame(out)
-
-    return files.select("source", "family", "content").mapInPandas(run, _PARTS)
+                    out = [_BLANK | about | {"error_class": type(e).__name__, "error_message": str(e)}]
+                seconds = time.perf_counter() - began
+                if out:
+                    yield pd.DataFrame([row | {"seconds": seconds} for row in out])
+
+    return files.select("source", "filename", "extension", "family", "content").mapInPandas(run, _PARTS)
+
+
+def _markdown() -> Column:
+    block = lambda b: F.when(b["kind"] == "table", M.table(b["rows"])).when(b["kind"] == "paragraph", M.block(b["style"], b["text"]))
+    blocks = F.filter(F.transform("blocks", block), lambda x: x.isNotNull())
+    kind = F.col("kind")
+    return (
+        F.when(kind == "text", T.unify_newlines(F.col("text")))
+        .when(kind == "docx", F.array_join(F.transform(blocks, lambda x: F.concat(x, F.lit("\n"))), "\n"))
+        .when(kind == "page", M.page(F.col("text"), F.col("tables")))
+        .when(kind == "csv", M.table(F.col("rows")))
+        .when(kind == "sheet", M.sheet(F.col("name"), F.coalesce(M.table(F.col("rows")), F.lit(""))))
+    )
 
 
 def read_pages(spark: SparkSession, paths: list[str], engine: str = "simple") -> DataFrame:
-    """source, filename, extension, page_number, markdown_content, tables, error_class and error_message of every page
-    of every file. A file that can't be read has one row without page."""
+    """source, filename, extension, page_number, markdown_content, plain_text, tables, error_class, error_message and seconds (what reading the
+    file took) of every page of every file. A file that can't be read has one row without page. A path that is given twice is read once."""
     if engine not in ENGINES:
         raise ValueError(f"Unknown PDF engine: {engine}. Available engines: {sorted(ENGINES)}")
-    files = read_files(spark, paths)
-    about = files.select("source", "filename", "extension").distinct()
-    none = F.lit(None).cast("string")
-    no_tables = F.lit(None).cast("array<array<array<string>>>")
-    # bytes that aren't UTF-8 fail their own row only
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(valid, F.decode(F.when(valid, F.col("content")).otherwise(F.lit(b"")), "UTF-8"))
-    plain = files.where("family = 'text'").select(
-        "source", F.when(valid, F.lit(1)).alias("page_number"), unify_newlines(text).alias("markdown_content"), no_tables.alias("tables"),
-        F.when(~valid, "UnicodeDecodeError").alias("error_class"), F.when(~valid, "the file is not valid UTF-8").alias("error_message"),
+    parts = _parts(read_files(spark, dict.fromkeys(paths)), engine)
+    plain = F.when(F.col("kind") == "page", F.col("text")).when(F.col("kind").isNotNull(), F.lit(""))
+    return parts.select("source", "filename", "extension", "page_number", _markdown().alias("markdown_content"), plain.alias("plain_text"), "tables", "error_class", "error_message", "seconds")
+
+
+def as_documents(pages: DataFrame, engine: str = "simple") -> DataFrame:
+    """source, filename, extension, engine, content (Markdown; pages behind their markers but for plain text), markdown_content, pages (an
+    array of structs) and the error of each file."""
+    plain, ok = F.col("extension").isin(".md", ".txt"), F.max("error_class").isNull()
+    number, markdown = F.col("page_number"), F.col("markdown_content")
+    tables = F.transform(F.coalesce("tables", F.array().cast(f"array<{_TABLE}>")), lambda t: F.struct(t.alias("rows")))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    no_map = F.create_map().cast("map<string,string>")
+    page = F.struct(
+        number, markdown, F.col("plain_text"), none("struct<kind:string,text:string,bbox:array<double>>").alias("elements"), tables.alias("tables"), none("map<string,string>").alias("images"),
+        F.when(F.col("extension") == ".pdf", F.create_map(F.lit("engine_name"), F.lit(engine))).otherwise(no_map).alias("metadata"),
     )
-    unknown = files.where("family is null").select(
-        "source", F.lit(None).cast("int").alias("page_number"), none.alias("markdown_content"), no_tables.alias("tables"), F.lit("ValueError").alias("error_class"),
-        F.concat(F.lit("Unsupported file extension: "), "extension").alias("error_message"),
-    )
-    parts = _parts(files.where("family not in ('text')"), engine)
-    block = F.when(F.col("kind") == "table", M.table(F.col("rows"))).when(F.col("kind") == "paragraph", M.block(F.col("style"), F.col("text")))
-    blocks = F.array_sort(F.collect_list(F.when(block.isNotNull(), F.struct("part", F.concat(block, F.lit("\n")).alias("t")))))
-    docx = parts.where("kind in ('paragraph', 'table', 'empty')").groupBy("source").agg(
-        F.lit(1).alias("page_number"), F.array_join(F.transform(blocks, lambda b: b["t"]), "\n").alias("markdown_content"), no_tables.alias("tables")
-    )
-    pages = parts.where("kind in ('sheet', 'csv', 'page')").select(
-        "source", (F.col("part") + 1).alias("page_number"),
-        F.when(F.col("kind") == "page", M.page(F.col("text"), F.col("tables"))).when(F.col("kind") == "csv", M.table(F.col("rows")))
-        .otherwise(M.sheet(F.col("name"), F.coalesce(M.table(F.col("rows")), F.lit("")))).alias("markdown_content"), "tables",
+    listed = F.transform(F.array_sort(F.collect_list(F.when(number.isNotNull(), F.struct(number.alias("o"), page.alias("p")))), lambda a, b: F.when(a["o"] < b["o"], -1).otherwise(1)), lambda r: r["p"])
+    return pages.groupBy("source", "filename", "extension").agg(
+        F.lit(engine).alias("engine"), F.when(ok, F.when(F.first(plain), F.first(markdown)).otherwise(joined(number, M.marked_page(number, markdown)))).alias("content"),
+        F.when(ok, joined(number, markdown)).alias("markdown_content"), listed.alias("pages"), F.max("error_class").alias("error_class"), F.max("error_message").alias("error_message"),
     )
-    failed = parts.where("kind = 'error'").select("source", F.lit(None).cast("int").alias("page_number"), none.alias("markdown_content"), no_tables.alias("tables"), "error_class", "error_message")
-    ok = docx.unionByName(pages).select("*", none.alias("error_class"), none.alias("error_message"))
-    return plain.unionByName(unknown).unionByName(ok).unionByName(failed).join(F.broadcast(about), "source")
 
 
 def read_documents(spark: SparkSession, paths: list[str], engine: str = "simple") -> DataFrame:
-    """source, filename, extension, content (Markdown; pages behind their markers but for plain text) and the error of
-    each file."""
-    from ..operators.assemble import joined
-
-    pages = read_pages(spark, paths, engine)
-    plain = F.col("extension").isin(".md", ".txt")
-    return pages.groupBy("source", "filename", "extension").agg(
-        F.when(F.max("error_class").isNull(), F.when(F.first(plain), F.first("markdown_content")).otherwise(joined(F.col("page_number"), M.marked_page(F.col("page_number"), F.col("markdown_content"))))).alias("content"),
-        F.when(F.max("error_class").isNull(), joined(F.col("page_number"), F.col("markdown_content"))).alias("markdown_content"),
-        F.max("error_class").alias("error_class"), F.max("error_message").alias("error_message"),
-    )
+    """Each file as as_documents gives it."""
+    return as_documents(read_pages(spark, paths, engine), engine)

@@ -6,8 +6,8 @@ labelled: the weights are found by gradient ascent on the documents' likelihood
 lays the blame on the sentences that explain it. Those sentences are then located.
 
 The model is fitted on the driver to at most `max_labelled` labelled documents, drawn by a hash of their
-id; it scores all documents where they lie, without a shuffle. A sentence without any feature of the
-model has probability 0, so that length alone makes no document toxic.
+id; it scores all documents where they lie, without a shuffle. Features may speak for toxicity or against it; a sentence in which none
+speaks for it has probability 0, so that length alone makes no document toxic.
 
 Defined cases: null, empty and wordless texts score 0 and are kept; labels that are null, or of documents
 that aren't there, play no part; without labels of both kinds nothing is toxic; repeated rows are scored
@@ -54,16 +54,16 @@ class ToxicityModel:
 
 
 class _Scores(dict):
-    """A token's weight, worked out when it is first met."""
+    """A token's weight and whether any of its features speaks for toxicity, worked out when it is first met."""
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
 
-    def __missing__(self, token: str) -> float | None:
+    def __missing__(self, token: str) -> tuple[float, bool] | None:
         found = [self.weights[f] for f in features(token) if f in self.weights]
         if len(self) > 400_000:
             self.clear()
-        self[token] = value = sum(found) if found else None
+        self[token] = value = (sum(found), max(found) > 0) if found else None
         return value
 
 
@@ -85,18 +85,31 @@ def located(text: str | None, scores: _Scores, bias: float) -> tuple[float, list
     low = text.lower()
     if len(low) != len(text):  # a letter that lower case makes longer: places must stay
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    if all(x is None for x in map(scores.__getitem__, set(low.split()))):
+    if not any(x and x[1] for x in map(scores.__getitem__, set(low.split()))):
         return 0.0, []
     out, no = [], 1.0
     for k, (start, sentence) in enumerate(sentences(low)):
-        found = [x for x in map(scores.__getitem__, sentence.split()) if x is not None]
-        if found:
-            p = 1 / (1 + np.exp(-np.clip(bias + sum(found), -30, 30)))
+        found = [x for x in map(scores.__getitem__, sentence.split()) if x]
+        if any(x[1] for x in found):
+            p = 1 / (1 + np.exp(-np.clip(bias + sum(x[0] for x in found), -30, 30)))
             no *= 1 - p
             out.append((k, start, text[start : start + len(sentence)], float(p)))
     return float(1 - no), out
 
 
+def likelihood(w: np.ndarray, b: float, feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """The mean log likelihood of documents' labels under the noisy-or of their sentences, and its slopes for the weights and the
+    bias. feature and sentence: each occurrence's; document: each sentence's. A document without any sentence adds nothing."""
+    n = len(document)
+    p = 1 / (1 + np.exp(-np.clip(b + np.bincount(sentence, w[feature], n), -30, 30)))
+    none = np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-9)), len(toxic))
+    doc_p = np.maximum(-np.expm1(none), 1e-9)
+    slope = np.where(toxic[document], p * ((1 - doc_p) / doc_p)[document], -p)  # at each sentence's score
+    known = np.bincount(document, minlength=len(toxic)) > 0
+    total = np.where(toxic, np.log(doc_p), none)[known].sum()
+    return total / len(toxic), np.bincount(feature, slope[sentence], len(w)) / len(toxic), slope.sum() / len(toxic)
+
+
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 5e-5, least: int = 4, z_least: float = 3.5) -> ToxicityModel:
     """Fit the weights, and on a fifth of the documents that is held out the threshold."""
     toxic = np.asarray(toxic, bool)
@@ -110,17 +123,18 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.
         if not h:
             (with_ if y else without).update({f for w in set(t.lower().split()) for f in features(w)})
     n1, n0 = int((toxic & ~held).sum()), int((~toxic & ~held).sum())
-    chosen = []
-    for f, a in with_.items():
-        b = without[f]
+    chosen: dict[str, bool] = {}
+    for f in {*with_, *without}:
+        a, b = with_[f], without[f]
         if a + b >= least:
             p = (a + b) / (n1 + n0)
             z = (a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-            if z > z_least:
-                chosen.append(f)
+            if abs(z) > z_least:
+                chosen[f] = bool(z > 0)
     number = {f: i for i, f in enumerate(sorted(chosen))}
-    if not number:
+    if not any(chosen.values()):
         return ToxicityModel({}, 0.0, 1.0)
+    accuses = np.array([chosen[f] for f in number])
     del with_, without
     numbers = _Numbers(number)
     feature, sentence, document = [], [], []
@@ -129,23 +143,16 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, rate: float = 0.
             continue
         for _, s in sentences(t.lower()):
             hits = [k for w in s.split() for k in numbers[w]]
-            if hits:
+            if hits and accuses[hits].any():
                 feature += hits
                 sentence += [len(document)] * len(hits)
                 document.append(d)
     feature, sentence, document = map(np.array, (feature, sentence, document))
-    n, y = len(document), toxic[document].astype(float)
     w, b = np.zeros(len(number)), -2.0
     g2, gb2, m, mb = np.zeros(len(number)), 0.0, np.zeros(len(number)), 0.0
     for t in range(1, rounds + 1):
-        x = np.clip(b + np.bincount(sentence, w[feature], n), -30, 30)
-        p = 1 / (1 + np.exp(-x))
-        none = np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-9)), len(texts))
-        doc_p = np.maximum(-np.expm1(none), 1e-9)[document]
-        # the log likelihood's slope at each sentence's score
-        slope = np.where(y > 0, p * (1 - doc_p) / doc_p, -p)
-        g = np.bincount(feature, slope[sentence], len(w)) / len(texts) - decay * np.sign(w)
-        gb = slope.sum() / len(texts)
+        _, g, gb = likelihood(w, b, feature, sentence, document, toxic)
+        g = g - decay * np.sign(w)
         m, mb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb
         g2, gb2 = 0.999 * g2 + 0.001 * g * g, 0.999 * gb2 + 0.001 * gb * gb
         fix, fix2 = 1 - 0.9**t, 1 - 0.999**t

@@ -63,6 +63,43 @@ def test_noisy_or_agrees_with_its_definition():
     assert [k for k, *_ in parts] == [0, 2] and np.allclose([x[3] for x in parts], q) and np.isclose(p, 1 - (1 - q[0]) * (1 - q[1]))
 
 
+def test_what_speaks_against_toxicity_only_lessens_what_speaks_for_it():
+    scores = toxicity._Scores({"bad": 2.0, "kind": -3.0})
+    p, parts = toxicity.located("Bad and kind. Kind! Bad?", scores, -1.0)
+    q = [1 / (1 + np.exp(1.0 - x)) for x in (-1.0, 2.0)]
+    assert [k for k, *_ in parts] == [0, 2] and np.allclose([x[3] for x in parts], q) and np.isclose(p, 1 - (1 - q[0]) * (1 - q[1]))
+    assert toxicity.located("Kind, kind. All kind!", scores, -1.0) == (0.0, [])
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choices("abcdefgh", k=6)) + (" foul" if k % 2 else "") + (" not" if k % 4 == 1 else "") + "." for k in range(800)]
+    model = toxicity.fit(texts, np.array([k % 4 == 3 for k in range(800)]))
+    assert model.weights["foul"] > 0 > model.weights["not"]
+
+
+def test_the_slopes_agree_with_differences_and_the_likelihood_with_its_definition():
+    rng = np.random.default_rng(4)
+    documents = [[rng.integers(0, 6, rng.integers(1, 5)).tolist() for _ in range(rng.integers(0, 4))] for _ in range(25)]
+    toxic = rng.random(25) < 0.4
+    w, b = rng.standard_normal(6), -0.7
+    triples = [(f, s, d) for d, x in enumerate(documents) for s, words in enumerate(x) for f in words]
+    number = {k: i for i, k in enumerate(dict.fromkeys((d, s) for _, s, d in triples))}
+    feature, sentence = np.array([f for f, _, _ in triples]), np.array([number[d, s] for _, s, d in triples])
+    document = np.array([d for d, _ in number])
+
+    def plain(w, b):
+        total = 0.0
+        for words, y in zip(documents, toxic):
+            if words:
+                none = np.prod([1 - 1 / (1 + np.exp(-(b + sum(w[f] for f in s)))) for s in words])
+                total += np.log(1 - none if y else none)
+        return total / len(documents)
+
+    value, slopes, of_bias = toxicity.likelihood(w, b, feature, sentence, document, toxic)
+    assert np.isclose(value, plain(w, b))
+    step = 1e-6
+    want = [(plain(w + step * e, b) - plain(w - step * e, b)) / (2 * step) for e in np.eye(6)]
+    assert np.allclose(slopes, want, atol=1e-6) and np.isclose(of_bias, (plain(w, b + step) - plain(w, b - step)) / (2 * step), atol=1e-6)
+
+
 def test_toxicity_awkward_rows(spark):
     docs = awkward(spark)
     model = toxicity.ToxicityModel({"line": 9.0}, -2.0, 0.5)
@@ -86,17 +123,55 @@ def test_quality_on_held_out_documents(spark):
     score = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     pairs = [(g, b) for g in sorted(good)[:60] for b in sorted(bad)[:30]]
     assert np.mean([score[g] > score[b] for g, b in pairs]) > 0.98
-    assert model.threshold <= model.cut
     below = np.mean([s < model.threshold for s in score.values()])
     assert abs(below - np.mean([r[3] == 0 for r in rows if r[0] < 500])) < 0.06
 
 
-def test_the_cut_errs_least():
+def test_the_threshold_is_a_quantile_and_each_row_is_scored_once(spark):
+    rows = corpus(700, 5)
+    docs, labels = frame(spark, [r[:2] for r in rows]), labelled(spark, [r for r in rows if r[0] % 3])
+    model = quality.fit_labelled(docs, labels)
+    scored = quality.score(docs, model)
+    score = {r.doc_id: r.score for r in scored.collect()}
+    slope, offset = model.curve
+    level = np.mean([1 / (1 + np.exp(-(slope * s + offset))) for s in score.values()])
+    want = sorted(score.values())[max(int(np.ceil(level * len(score))) - 1, 0)]
+    assert quality.with_threshold(model, scored).threshold == want and abs(level - np.mean([r[3] == 0 for r in rows])) < 0.02
+    kept = {r.doc_id for r in quality.filter_good(docs, labels).collect()}
+    assert kept == {i for i, s in score.items() if s >= want} == {r.doc_id for r in quality.keep_good(docs, quality.train(docs, labels)).collect()}
+    assert quality.filter_good(docs, labels)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0
+    assert quality.score(docs.withColumnRenamed("doc_id", "score"), model, "score").columns == ["score", "score_"]
+
+
+def test_the_weights_lower_the_pairwise_loss_to_its_least():
+    rows = corpus(400, 6)
+    texts, good = [r[1] for r in rows], np.array([r[3] == 1 for r in rows])
+    model = quality.fit(texts, good)
+    z = np.clip((quality.text_features(texts) - model.mean) / model.scale, -8, 8)
+
+    def loss(w):  # over all pairs
+        s = z @ w
+        return np.mean([np.log1p(np.exp(-np.clip(s[good] - b, -30, 30))) for b in s[~good]])
+
+    assert loss(model.weights) < 0.1 < loss(np.zeros(14))
+    for k in range(14):
+        for step in (0.5, -0.5):
+            assert loss(model.weights + step * np.eye(14)[k]) > loss(model.weights) - 0.02
+
+
+def test_the_curve_has_the_least_loss():
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        s, y = rng.integers(0, 12, 30).astype(float), rng.random(30) > 0.4
-        cost = lambda c: 2 * (y & (s < c)).sum() + (~y & (s >= c)).sum()
-        assert cost(quality._cut(s, y)) <= min(cost(c) for c in [-np.inf, *(np.unique(s)[1:])]) + (s.max() < quality._cut(s, y))
+    s = rng.standard_normal(300)
+    good = rng.random(300) < 1 / (1 + np.exp(-(2 * s + 1)))
+    slope, offset = quality._curve(s, good, ridge=0)
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * s + b)))
+        return -np.mean(np.where(good, np.log(1 - p), np.log(p)))
+
+    assert all(loss(slope, offset) <= loss(slope + a, offset + b) for a in (-0.01, 0, 0.01) for b in (-0.01, 0, 0.01)) and -3 < slope < -1
+    parted = quality._curve(np.arange(10.0), np.arange(10) > 4)
+    assert np.isfinite(parted).all() and parted[0] < -1
 
 
 def test_quality_awkward_rows(spark):

@@ -86,7 +86,7 @@ def test_words_that_polynomial_hashes_confuse_are_told_apart(n):
     want = [known.encode_ordinary(t) for t in pair]
     encoder = bpe.Encoder(tokens)
     assert encoder.encode([" ".join(pair), *pair]) == [known.encode_ordinary(" ".join(pair)), *want]
-    blocks = encoder.block([[pair[0]], [pair[1]]])
+    blocks = list(encoder.block([[pair[0]], [pair[1]]]))
     assert [t.tolist() for t, _ in blocks] == want
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import files
+
 _PAGES = r"""
 pages AS (
   SELECT conv_id AS doc_id, turn + 1 AS page_number,
@@ -175,4 +177,5 @@ FROM docs JOIN listed USING (doc_id)""",
     "rates": r"""
 SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0.0::double ELSE round(round((event_id % 64) / ((event_id % 9) / 8), 4), 3) END AS rate, round(round((event_id % 64) / 64, 4), 3) AS ratio
 FROM events""",
+    **files.SQL,
 }

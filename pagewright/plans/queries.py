@@ -22,6 +22,7 @@ from ..operators.metrics import document_metrics
 from ..operators.normalise import reply_pages
 from ..operators.quality import quality_checks
 from ..operators.summary import batch_summary, benchmark_summary
+from . import files
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -259,4 +260,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "route_by_extension": route_by_extension,
     "marker_ranges": marker_ranges,
     "rates": rates,
+    **files.QUERIES,
 }

@@ -257,7 +257,12 @@ def _distinct(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes:
     """Of spans that cover all values without a gap: the distinct ones' hashes and places, and which of them each span is."""
     found, at, back = np.unique(hashes, return_index=True, return_inverse=True)
     first = at[back]
-    if (sizes == sizes[first]).all() and (values == values[_places(starts[first] - starts, sizes)]).all():
+    same = bool((sizes == sizes[first]).all())
+    for i, j in zip(lots := [*range(0, len(starts), 100_000)], [*lots[1:], len(starts)]):
+        if same:
+            own = values[starts[i] : starts[j - 1] + sizes[j - 1]]
+            same = bool((own == values[_places(starts[first[i:j]] - (starts[i:j] - starts[i]), sizes[i:j])]).all())
+    if same:
         return found, at, back
     keys: dict[bytes, int] = {}  # different spans of one hash: by their values
     back = np.fromiter((keys.setdefault(values[s : s + n].tobytes(), len(keys)) for s, n in zip(starts.tolist(), sizes.tolist())), np.int64, len(starts))

@@ -20,29 +20,22 @@ dates, times or strings (any others that can be ordered make a single batch); em
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, discard, fresh, fresh_path, materialise, projected, unused, value_cuts
+from .common import col, discard, fresh, fresh_path, materialise, projected, setting, unused, value_cuts
 
 HASH = ["h1", "h2"]
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
-@contextmanager
-def _sorted_runs(spark: SparkSession) -> Iterator[None]:
+def _sorted_runs(spark: SparkSession) -> AbstractContextManager[None]:
     """While plans are made within, Spark trusts the order of bucket files, which holds as each bucket is one file."""
-    before = spark.conf.get(_ORDERED)
-    spark.conf.set(_ORDERED, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_ORDERED, before)
+    return setting(spark, _ORDERED, "true")
 
 
 class LineDedup:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encode, release, slices
-from .common import col, finished, materialise, projected, scratch
+from .common import col, finished, materialise, projected, scratch, setting
 
 PRECISION, MOST_PRECISION, LANES, BLOCK_SYMBOLS, CHECKPOINT_STEPS = 14, 16, 1024, 4_000_000, 1024
 LOW = 1 << 16
@@ -327,4 +327,6 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokens, _ = materialise(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), packed=True).drop("n_tokens"), "rans-tokens")
         return encode_blocks(tokens, frequency_table(tokens, precision=MOST_PRECISION))
 
-    return finished(spark, make, "rans-blocks")
+    # texts of some kilobytes: as many a batch as usual would be held several times over
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):
+        return finished(spark, make, "rans-blocks")

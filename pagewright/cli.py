@@ -16,13 +16,11 @@ from .sources import sinks
 from .sources.config import Config
 from .sources.files import expand_inputs
 from .sources.readers import read_documents
+from .sources.service import POLICIES, check_models, device
 
 _SERVICE = ("api_command", "api_host", "api_port", "api_start_timeout", "api_url", "auto_install_runtime", "device", "download_dir", "model_dir", "model_policy", "model_source", "runtime_package")
 
 
-_POLICIES = ("require_existing", "download_if_missing")
-
-
 def _flags(command: argparse.ArgumentParser, *names: str) -> None:
     for name in names:
         command.add_argument(f"--{name}", action="store_true")
@@ -38,7 +36,7 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{option}")
     for number, kind in {"max-workers": int, "api-start-timeout": float, "api-port": int}.items():
         p.add_argument(f"--{number}", type=kind)
-    p.add_argument("--model-policy", choices=_POLICIES)
+    p.add_argument("--model-policy", choices=POLICIES)
     p.add_argument("--format", default="markdown")
     b = commands.add_parser("benchmark")
     b.add_argument("manifest")
@@ -55,7 +53,14 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     args = top.parse_args(arguments)
     config = Config()
     engine = args.engine or config.get("default_pdf_engine")
-    config.engine(engine, **{k: getattr(args, k, None) for k in _SERVICE})  # settings of engines that are services are resolved, though none is part of this library
+    service = config.engine(engine, **{k: getattr(args, k, None) for k in _SERVICE})
+    if "model_policy" in service:  # an engine that is a service: what it would refuse is refused here
+        try:
+            check_models(service)
+            device(service.get("device", "auto"), gpu=False)
+        except (RuntimeError, ValueError) as e:
+            print(e, file=sys.stderr)
+            return 1
     workers = args.max_workers or min(4, os.cpu_count() or 1)
     spark = spark or SparkSession.builder.master(f"local[{workers}]").config("spark.ui.enabled", "false").getOrCreate()
     if args.command == "benchmark":
@@ -63,7 +68,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         print(json.dumps(summary, ensure_ascii=False, indent=2, default=str))
         return 0
     if args.batch and (args.metrics or args.skip_existing or args.max_workers):
-        _, summary = run_batch(spark, args.inputs, args.output_dir or "outputs", engine, args.format, skip_existing=args.skip_existing)
+        _, summary = run_batch(spark, args.inputs, args.output_dir or "out", engine, args.format, args.metrics, skip_existing=args.skip_existing)
         print(json.dumps(summary, ensure_ascii=False, indent=2, default=str))
         return 0
     sources = expand_inputs(args.inputs)
@@ -78,7 +83,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         if failed:
             print(f"{failed[0].source}: {failed[0].error_message}", file=sys.stderr)
             return 1
-        written = sinks.write_documents(docs.join(named, "source"), args.output_dir or "outputs").collect()
+        written = sinks.write_documents(docs.join(named, "source"), args.output_dir or "out").collect()
         return int(any(r.error_class for r in written))
     row = rows[sources[0]]
     if row.error_class:

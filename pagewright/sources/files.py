@@ -42,7 +42,11 @@ def read_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     if not full:
         return spark.createDataFrame([], schema)
     names = spark.createDataFrame([(i, s, f) for i, (s, f) in enumerate(zip(listed, full))], "pos int, source string, full string")
+    # a scan leaves out files without any byte
+    void = [(f, b"") for f in sorted(set(full)) if "://" not in f and os.path.isfile(f) and not os.path.getsize(f)]
     bare = F.regexp_replace("path", "^file:/+", "/")
     found = spark.read.format("binaryFile").load(sorted(set(full))).select(bare.alias("full"), "content")
+    if void:
+        found = found.unionByName(spark.createDataFrame(void, "full string, content binary"))
     joined = F.broadcast(names).join(found, "full")
     return joined.select("source", P.name(F.col("source")).alias("filename"), P.extension(F.col("source")).alias("extension"), P.family(F.col("source")).alias("family"), "content")

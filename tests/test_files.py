@@ -70,6 +70,49 @@ def test_readers(spark, folder):
     assert got["f.docx"].error_class == "BadZipFile" and got["g.txt"].error_class == "UnicodeDecodeError" and got["h.pdf"].error_class in ("ImportError", "PdfminerException")
 
 
+def test_cells_as_a_data_frame_shows_them(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,gap,share,flag,word\n007,1,0.5,True,x\n010,,2,False,\n011,3,1e9,True,\"q, r\"\n")
+    (tmp_path / "b.csv").write_text("")
+    styles = f'<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="0.00 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>'
+    cells = ['<c t="inlineStr"><is><t>when</t></is></c><c t="inlineStr"><is><t>then</t></is></c><c t="inlineStr"><is><t>n</t></is></c><c t="inlineStr"><is><t>yes</t></is></c><c><v>2024</v></c>', '<c s="1"><v>45293</v></c><c s="2"><v>45293.5</v></c><c s="3"><v>1.5</v></c><c t="b"><v>1</v></c><c><v>7</v></c>', '<c s="1"><v>45294</v></c><c/><c><v>2</v></c><c t="b"><v>0</v></c><c><v>8</v></c>']
+    parts = {"xl/workbook.xml": f'<workbook {S} {R}><sheets><sheet name="T" sheetId="1" r:id="r1"/><sheet name="Empty" sheetId="2" r:id="r2"/></sheets></workbook>', "xl/styles.xml": styles, "xl/worksheets/s.xml": f"<worksheet {S}><sheetData>{''.join(f'<row>{c}</row>' for c in cells)}</sheetData></worksheet>", "xl/worksheets/e.xml": f"<worksheet {S}><sheetData/></worksheet>", "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s.xml"/><Relationship Id="r2" Target="worksheets/e.xml"/></Relationships>'}
+    (tmp_path / "c.xlsx").write_bytes(packed(parts))
+    (tmp_path / "d.xls").write_bytes(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1 old")
+    got = {(r.filename, r.page_number): r for r in pagewright.read_pages(spark, [str(tmp_path / n) for n in ("a.csv", "a.csv", "b.csv", "c.xlsx", "d.xls")]).collect()}
+    assert got["a.csv", 1].markdown_content.split("\n")[2:] == ["| 7 | 1 | 0.5 | True | x |", "| 10 | nan | 2 | False | nan |", "| 11 | 3 | 1e+09 | True | q, r |"]
+    assert got["b.csv", None].error_class == "EmptyDataError" and got["d.xls", None].error_class in ("ImportError", "XLRDError", "CompDocError")
+    assert got["c.xlsx", 1].markdown_content.split("\n") == ["### Sheet: T", "", "| when | then | n | yes | 2024 |", "| --- | --- | --- | --- | --- |", "| 2024-01-02 00:00:00 | 2024-01-02 12:00:00 | 1.5 | True | 7 |", "| 2024-01-03 00:00:00 | NaT | 2 | False | 8 |"]
+    assert got["c.xlsx", 2].markdown_content == "### Sheet: Empty\n\n" and len(got) == 5
+
+
+def test_what_engines_give_is_checked(spark, tmp_path):
+    pages = {"good": [{"text": "one", "tables": [[["a", None], ["1", 2]]]}, {"text": ""}], "notdict": ["text"], "otherkeys": [{"markdown": "x"}], "notext": [{"text": 5}], "badtable": [{"text": "", "tables": ["ab"]}]}
+    path = tmp_path / "x.pdf"
+    path.write_bytes(b"%PDF")
+    try:
+        for name, given in pages.items():
+            pagewright.register_engine(name, lambda raw, given=given: iter(given))
+            rows = pagewright.read_pages(spark, [str(path)], name).collect()
+            if name == "good":
+                assert [(r.page_number, r.plain_text, r.markdown_content) for r in sorted(rows, key=lambda r: r.page_number)] == [(1, "one", "one\n\n| a |  |\n| --- | --- |\n| 1 | 2 |"), (2, "", "")]
+            else:
+                assert [(r.error_class, r.page_number) for r in rows] == [("TypeError", None)] and name in rows[0].error_message
+        with pytest.raises(TypeError):
+            pagewright.register_engine("none", None)
+    finally:
+        for name in pages:
+            pagewright.ENGINES.pop(name, None)
+
+
+def test_each_file_is_unpacked_once(spark, folder, tmp_path):
+    docs = pagewright.read_documents(spark, [str(folder / n) for n in ("a.md", "b.docx", "c.XLSX", "e.html")])
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    items, _ = pagewright.run_batch(spark, [[str(folder / "b.docx"), str(folder / "c.XLSX")]], str(tmp_path / "o"), fmt="json")
+    assert "MapInPandas" not in items._jdf.queryExecution().optimizedPlan().toString() and sorted(x.name for x in (tmp_path / "o").iterdir()) == ["b.json", "batch-results.jsonl", "batch-summary.json", "c.json"]
+    book = json.loads((tmp_path / "o" / "c.json").read_text())
+    assert [p["page_number"] for p in book["pages"]] == [1, 2] and book["pages"][0]["tables"] == [] and book["filename"] == "c.XLSX" and book["metadata"] == {}
+
+
 def test_engines(spark, folder):
     with pytest.raises(ValueError, match="Unknown PDF engine"):
         pagewright.read_documents(spark, [str(folder / "h.pdf")], "other")

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from pagewright import batch_summary, benchmark_summary, chunk, document_metrics, quality_checks, quality_rollup, reply_pages
@@ -97,6 +99,26 @@ def test_replies(spark):
     }
 
 
+def test_replies_at_any_depth(spark):
+    def nested(inner, depth):
+        for _ in range(depth):
+            inner = {"result": inner, "md": "outer"}
+        return json.dumps(inner)
+
+    replies = [
+        (1, nested({"content_list": [{"text": "deep"}]}, 9)), (2, nested({"content_list": [], "content_list_v2": [[{"text": "x"}], "no list", [{"text": "y"}]]}, 4)),
+        (3, nested({"content_list": ["text", {"text": "not first"}], "content_list_v2": [{"text": "v2"}, 5, {"text": "w"}]}, 1)),
+        (4, nested({"content_list": [[], []], "result": {"content_list": [{"text": "not reached"}]}}, 2)), (5, nested({"content_list": [{"text": "esc"}]}, 2).replace("result", "resul\\u0074")), (6, None), (7, '{"result": [1], "markdown": "m"}'),
+    ]
+    got = {}
+    pages = reply_pages(spark.createDataFrame(replies, "doc_id int, reply string"), ["doc_id"])
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for r in pages.collect():
+        got.setdefault(r.doc_id, {})[r.page_number] = (r.markdown_content, len(r.elements))
+    assert got == {1: {1: ("deep", 1)}, 2: {1: ("x", 1), 3: ("y", 1)}, 3: {1: ("v2\nw", 2)}, 4: {1: ("outer", 0)}, 5: {1: ("esc", 1)}, 6: {1: ("", 0)}, 7: {1: ("m", 0)}}
+
+
 def test_markers_around_and_within_whole_documents(spark):
     """marker_ranges' operators on whole texts, against Python's re: markers before, within and after every document."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("doc_id", "text")

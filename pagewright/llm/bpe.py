@@ -381,12 +381,18 @@ def give_back() -> None:
         trim(0)
 
 
+def packed_bytes(vocabulary: list[bytes]) -> int:
+    """How many bytes a packed token takes."""
+    return 2 if len(vocabulary) <= 1 << 16 else 4
+
+
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY,
     block_chars: int = 32_000_000, check_round_trip: bool = False, packed: bool = False,
 ) -> DataFrame:
     """(id, tokens array<int>, n_tokens) of every row; with check_round_trip also whether decoding
-    gives the text again; packed: tokens as binary, four little-endian bytes each. The vocabulary is read on the driver and sent out: its size is fixed."""
+    gives the text again; packed: tokens as binary, little-endian, in as many bytes each as
+    packed_bytes() says. The vocabulary is read on the driver and sent out: its size is fixed."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     key = hash(vocabulary)
@@ -400,7 +406,8 @@ def encode(
         missing = np.asarray(batch.column(1).is_null())
         ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         if packed:
-            data = [pa.array(~missing).buffers()[1], pa.py_buffer(ends * np.int32(4)), pa.py_buffer(tokens.astype("<i4"))]
+            width = packed_bytes(vocabulary)
+            data = [pa.array(~missing).buffers()[1], pa.py_buffer(ends * np.int32(width)), pa.py_buffer(tokens.astype(f"<u{width}"))]
             lists = pa.Array.from_buffers(pa.binary(), len(counts), data)
         else:
             lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(missing, False)), pa.array(tokens))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, discard, fresh, fresh_path, materialise, projected, setting, unused, value_cuts
+from .common import col, discard, finished, fresh, fresh_path, materialise, projected, setting, unused, value_cuts
 
 HASH = ["h1", "h2"]
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
@@ -151,4 +151,4 @@ FROM placed GROUP BY doc_id
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier place has."""
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return finished(spark, lambda: dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "lines")

@@ -12,7 +12,7 @@ encoded. Where no precision is asked for it is 14, or what more different ids ne
 1's vocabulary (50,256) fits. Of still more different ids the most frequent half as many keep symbols of their own; any
 other is an escape, counted like a symbol, and four symbols for its bytes.
 
-Tokens come as a list column, as a binary column of four little-endian bytes a token, or as a text column: its ids are
+Tokens come as a list column, as a binary column of two or four little-endian bytes a token, or as a text column: its ids are
 then its UTF-8 bytes, with no list being made of them.
 
 Defined cases: a null list is written as length -1 and comes back null, an empty one as 0; null ids
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encode, release, slices
+from .bpe import encode, packed_bytes, read_vocabulary, release, slices
 from .common import col, finished, materialise, projected, scratch, setting
 
 PRECISION, MOST_PRECISION, LANES, BLOCK_SYMBOLS, CHECKPOINT_STEPS = 14, 16, 1024, 4_000_000, 1024
@@ -194,8 +194,8 @@ class Codec:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """List lengths (-1: null) and all ids. A text's ids are its UTF-8 bytes."""
+def _symbols(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """List lengths (-1: null) and all ids. A text's ids are its UTF-8 bytes, those of binary are `width` bytes each."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         flat = column.flatten()
         if flat.null_count:
@@ -204,16 +204,17 @@ def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if pa.types.is_binary(column.type):
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        lengths = pc.fill_null(pc.binary_length(column), -4).to_numpy(zero_copy_only=False) // 4
+        lengths = pc.fill_null(pc.binary_length(column), -width).to_numpy(zero_copy_only=False) // width
         _, ends, data = column.buffers()
         ends = np.frombuffer(ends, "<i4", len(column) + 1, column.offset * 4)
-        return lengths, np.frombuffer(data, "<i4", (ends[-1] - ends[0]) // 4, ends[0]) if data and ends[-1] > ends[0] else np.zeros(0, np.int32)
+        kind = "<u2" if width == 2 else "<i4"
+        return lengths, np.frombuffer(data, kind, (ends[-1] - ends[0]) // width, ends[0]) if data and ends[-1] > ends[0] else np.zeros(0, np.int32)
     raw = column.cast(pa.binary()).to_pylist()
     lengths = np.fromiter((-1 if x is None else len(x) for x in raw), np.int32, len(raw))
     return lengths, np.frombuffer(b"".join(x for x in raw if x), np.uint8)
 
 
-def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: int | None = None) -> FrequencyTable:
+def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: int | None = None, width: int = 4) -> FrequencyTable:
     """The table of all tokens. Each task counts its own; at most 2^precision different ids (2^16, if no precision is given) come to
     the driver, the most frequent ones, and the count of all others together."""
 
@@ -222,7 +223,7 @@ def frequency_table(tokens: DataFrame, tokens_col: str = "tokens", precision: in
         total: dict[int, int] = {}
         for whole in batches:
             for b in _lots(whole, 0):
-                values, counts = np.unique(_symbols(b.column(0))[1], return_counts=True)
+                values, counts = np.unique(_symbols(b.column(0), width)[1], return_counts=True)
                 for v, c in zip(values.tolist(), counts.tolist()):
                     total[v] = total.get(v, 0) + c
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
@@ -254,7 +255,7 @@ def _block_schema(id_type: T.DataType) -> T.StructType:
 
 def encode_blocks(
     tokens: DataFrame, table: FrequencyTable, id_col: str = "doc_id", tokens_col: str = "tokens", lanes: int = LANES,
-    block_symbols: int = BLOCK_SYMBOLS, checkpoint_steps: int = CHECKPOINT_STEPS,
+    block_symbols: int = BLOCK_SYMBOLS, checkpoint_steps: int = CHECKPOINT_STEPS, width: int = 4,
 ) -> DataFrame:
     """A row for each block: its rows' ids and list lengths, payload, checkpoints and CRC-32 of both."""
     source = projected(tokens, id=id_col, tokens=tokens_col)
@@ -269,7 +270,7 @@ def encode_blocks(
 
         def block():
             t = pa.Table.from_batches(held).combine_chunks()
-            parts = [_symbols(c) for c in t.column(1).chunks]
+            parts = [_symbols(c, width) for c in t.column(1).chunks]
             lengths, symbols = (np.concatenate(x) for x in zip(*parts))
             symbols = codec.table.numbers(symbols)
             payload, checkpoints = codec.encode(symbols)
@@ -281,7 +282,7 @@ def encode_blocks(
             column = b.column(1)
             measure = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
             sizes = pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            total, at = np.cumsum(sizes // 4 if pa.types.is_binary(column.type) else sizes), 0
+            total, at = np.cumsum(sizes // width if pa.types.is_binary(column.type) else sizes), 0
             while at < b.num_rows:
                 before = int(total[at - 1]) if at else 0
                 end = max(int(np.searchsorted(total, before + block_symbols - size, side="right")), at + (not held))
@@ -325,7 +326,8 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make() -> DataFrame:
         tokens, _ = materialise(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), packed=True).drop("n_tokens"), "rans-tokens")
-        return encode_blocks(tokens, frequency_table(tokens, precision=MOST_PRECISION))
+        width = packed_bytes(read_vocabulary())
+        return encode_blocks(tokens, frequency_table(tokens, precision=MOST_PRECISION, width=width), width=width)
 
     # texts of some kilobytes: as many a batch as usual would be held several times over
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):

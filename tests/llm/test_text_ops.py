@@ -210,12 +210,14 @@ def test_op7_codes_the_tokens_of_the_vocabulary(spark):
 def test_packed_tokens_are_the_same(spark):
     docs = awkward(spark)
     lists, packed = bpe.encode(docs), bpe.encode(docs, packed=True)
-    unpack = lambda x: None if x is None else np.frombuffer(bytes(x), "<i4").tolist()
+    unpack = lambda x: None if x is None else np.frombuffer(bytes(x), "<u2").tolist()
     rows = lambda df, f: Counter((r.doc_id, None if f(r.tokens) is None else tuple(f(r.tokens)), r.n_tokens) for r in df.collect())
     assert rows(packed, unpack) == rows(lists, lambda x: x)
-    table = rans.frequency_table(packed)
+    table = rans.frequency_table(packed, width=2)
     assert (table.ids == rans.frequency_table(lists).ids).all()
-    back = rans.decode_blocks(rans.encode_blocks(packed, table, block_symbols=5000), table)
+    wide = spark.createDataFrame([(r.doc_id, None if r.tokens is None else np.array(r.tokens, "<i4").tobytes()) for r in lists.collect()], "doc_id long, tokens binary")
+    assert (rans.frequency_table(wide).ids == table.ids).all()
+    back = rans.decode_blocks(rans.encode_blocks(packed, table, block_symbols=5000, width=2), table)
     assert Counter((r.doc_id, None if r.tokens is None else tuple(r.tokens)) for r in back.collect()) == Counter((r.doc_id, None if r.tokens is None else tuple(r.tokens)) for r in lists.collect())
 
 

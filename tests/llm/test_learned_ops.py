@@ -143,6 +143,15 @@ def test_the_threshold_is_a_quantile_and_each_row_is_scored_once(spark):
     assert quality.score(docs.withColumnRenamed("doc_id", "score"), model, "score").columns == ["score", "score_"]
 
 
+def test_a_score_does_not_depend_on_its_batch():
+    rows = corpus(300, 8)
+    texts = [*(r[1] for r in rows), None, "", "x"]
+    model = quality.fit([r[1] for r in rows], np.array([r[3] == 1 for r in rows]))
+    together = model.scores(texts)
+    assert all((model.scores([t]) == s).all() for t, s in zip(texts, together)) and (model.scores(texts[7:90]) == together[7:90]).all()
+    assert len(model.scores([])) == 0
+
+
 def test_the_weights_lower_the_pairwise_loss_to_its_least():
     rows = corpus(400, 6)
     texts, good = [r[1] for r in rows], np.array([r[3] == 1 for r in rows])

@@ -12,6 +12,10 @@ are verified by the whole 256 bits. More bytes a key make pairs that meet by cha
 their number follows from the number of fingerprints; the result is the same. Lists of over `most_listed` fingerprints are split into
 blocks, each pair of which is a task's.
 
+Such keys have few bits, or are thousands. More than MANY fingerprints therefore meet under masks, if `key_bytes` isn't given: the bits are cut into parts, one
+of which has few of the differing bits, and each part has masks one of which hides all of them. A key is what a mask leaves of a
+part, some 25 bits. Fingerprints are dealt into blocks of `together` at most, and each pair of blocks, with all masks or some, is a task's.
+
 Documents of one fingerprint are one node. Verified pairs are joined to components, the classes; the least id names a class. Every link is
 found under several keys and counted under the first of them alone. Where links needn't be counted, a pair whose
 ends are linked already isn't looked at.
@@ -32,10 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices, span_hashes
-from .common import col, finished, fresh, materialise, projected
+from .common import col, finished, fresh, materialise, projected, setting
 from .components import connected_components
 
 POSITIONS, MAX_BITS, MOST_LISTED = 32, 28, 400_000
+MANY, TOGETHER, LONG_RUN = 300_000, 750_000, 64
 
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _SIGNS = ((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1
@@ -117,16 +122,22 @@ def _signed(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _roots(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The label at the end of each row's labels."""
+    at = label[x]
+    while (label[at] != at).any():
+        at = label[at]
+    return at
+
+
 def _link(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Both ends take the least label, until nothing changes."""
-    while True:
-        low = np.minimum(label[i], label[j])
-        if (label[i] == low).all() and (label[j] == low).all():
-            break
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
+    """The components of both ends become one: the greater root takes the lesser as its label, until no pair has two roots."""
+    while len(i):
+        a, b = _roots(label, i), _roots(label, j)
+        label[i], label[j] = a, b
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
 def _settle(label: np.ndarray) -> None:
@@ -137,10 +148,11 @@ def _settle(label: np.ndarray) -> None:
 
 def _tree(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of verified pairs as many as join what isn't joined yet, but one for each two labels; all are joined."""
-    new = np.nonzero(label[i] != label[j])[0]
-    i, j = i[new], j[new]
+    a, b = _roots(label, i), _roots(label, j)
+    new = a != b
+    i, j, a, b = i[new], j[new], a[new], b[new]
     if len(i):
-        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        low, high = np.minimum(a, b), np.maximum(a, b)
         once = np.unique(low * len(label) + high, return_index=True)[1]
         i, j = i[once], j[once]
         _link(label, i, j)
@@ -275,6 +287,160 @@ class _Lists:
                         break
 
 
+def covering_masks(max_bits: int) -> np.ndarray:
+    """Masks of 256 bits (four words each), one of which at least leaves out all bits in which any two fingerprints within max_bits differ.
+
+    One of the parts has at most `radius` of those bits. Each of a part's bits has a vector of radius + 1 binary digits, and each
+    vector but 0 makes a mask, of the bits whose vectors have an odd number of ones in common with it. `radius` vectors leave at least one
+    vector at right angles to all of them, whatever they are; its mask leaves those bits out."""
+    parts = max(1, (max_bits + 4) // 6)
+    edges = [256 * k // parts for k in range(parts + 1)]
+    rng, out = np.random.default_rng(7), []
+    for k in range(parts):
+        radius = (max_bits + 1 + k) // parts - 1  # over all parts, radius + 1 add up to max_bits + 1
+        size, n = edges[k + 1] - edges[k], 2 ** (radius + 1) - 1
+        vectors = np.concatenate([rng.permutation(n) + 1 for _ in range(-(-size // n))])[:size]
+        for v in range(1, n + 1):
+            bits = np.zeros(256, np.uint8)
+            bits[edges[k] : edges[k + 1]] = np.bitwise_count(vectors & v) % 2
+            out.append(np.packbits(bits, bitorder="little").view(np.uint64))
+    return np.array(out)
+
+
+class _Masks:
+    """Fingerprints that meet under masks; what of them is near."""
+
+    def __init__(self, positions: int, matches: int, max_bits: int) -> None:
+        self.matches, self.max_bits, self.masks = matches, max_bits, covering_masks(max_bits)
+        self.places = np.where(np.arange(32) < positions, 0x80, 0).astype(np.uint8).view(np.uint64)
+
+    def _verified(self, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _verified(fp, i, j, self.places, self.matches, self.max_bits)
+
+    def _joined(self, fp: np.ndarray, label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = label[i] != label[j]
+        return _tree(label, *self._verified(fp, i[new], j[new]))
+
+    def pairs(self, fp: np.ndarray, apart: np.ndarray | None, counted: bool, tables: range | None = None):
+        """As _Lists.pairs, of all rows, under the masks of these numbers."""
+        fp, label = np.asfortranarray(fp), np.arange(len(fp))
+        for t in range(len(self.masks)) if tables is None else tables:
+            key = np.zeros(len(fp), np.uint64)
+            for c in np.nonzero(self.masks[t])[0]:
+                key += (fp[:, c] & self.masks[t, c]) * np.uint64(_SEEDS[c] | 1)
+            order = np.argsort(key)
+            key = key[order]
+            again = np.concatenate(([False], key[1:] == key[:-1]))
+            met = again.copy()
+            met[:-1] |= again[1:]
+            order, key = order[met], key[met]  # without those that are alone
+            begin, end = np.arange(1, len(key) + 1), _runs(key)
+            if counted:
+                for i, j in _lots(begin, end):
+                    i, j = order[i], order[j]
+                    if apart is not None:
+                        across = apart[i] != apart[j]
+                        i, j = i[across], j[across]
+                    i, j = self._verified(fp, i, j)
+                    i, j = self._first(fp, i, j, t)
+                    if len(i):
+                        yield i, j, *_tree(label, i, j)
+                continue
+            _settle(label)
+            long = end - np.searchsorted(key, key) > LONG_RUN
+            for i, j in _lots(begin, np.where(long, begin, end)):
+                i, j = self._joined(fp, label, order[i], order[j])
+                if len(i):
+                    yield i, j, i, j
+            if long.any():
+                yield from self._in_long_runs(key[long], order[long], fp, label)
+
+    def _first(self, fp: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that meet under no mask before."""
+        x = fp[i] ^ fp[j]
+        for mask in self.masks[:t]:
+            if not len(i):
+                break
+            new = (x & mask).any(1)
+            i, j, x = i[new], j[new], x[new]
+        return i, j
+
+    def _in_long_runs(self, key: np.ndarray, rows: np.ndarray, fp: np.ndarray, label: np.ndarray):
+        """Pairs that join components: first each run's first row with all others, then what is still apart. Where much was joined, the rest is
+        put in order again, so that what is in one component isn't paired."""
+        for head, row in zip(*(np.array_split(x, len(rows) // 400_000 + 1) for x in (rows[np.searchsorted(key, key)], rows))):
+            i, j = self._joined(fp, label, head, row)
+            if len(i):
+                yield i, j, i, j
+        again = True
+        while again:
+            again, joined = False, 0
+            _settle(label)
+            order = np.lexsort((label[rows], key))
+            key, rows = key[order], rows[order]
+            own = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (label[rows[1:]] != label[rows[:-1]]))))
+            begin, end = _runs(own), _runs(key)
+            left = int(np.maximum(end - begin, 0).sum())
+            for i, j in _lots(begin, end):
+                left -= len(i)
+                i, j = self._joined(fp, label, rows[i], rows[j])
+                if len(i):
+                    yield i, j, i, j
+                    joined += len(i)
+                    if left > 4_000_000 and joined > len(rows) // 50:
+                        again = True
+                        break
+
+
+def _found_under_masks(nodes: DataFrame, n: int, positions: int, max_bits: int, counted: bool, together: int) -> DataFrame:
+    """As _found, by masks. A task has two blocks, and if that makes few tasks a share of the masks. Written here, since the rows of its
+    tables are whole lots of fingerprints, of which few may go to Python at once."""
+    spark = nodes.sparkSession
+    masks = _Masks(positions, positions - max_bits, max_bits)
+    blocks = max(1, -(-n // together))
+    # where links are counted, pairs within a block have a task of their own, else they are looked at with those of two blocks
+    met = [(a, b) for a in range(blocks) for b in range(a, blocks) if counted or blocks == 1 or a < b]
+    shares = min(len(masks.masks), -(-max(24, 2 * spark.sparkContext.defaultParallelism) // len(met)))
+
+    def deal(batches):
+        for b in batches:
+            lot = np.column_stack([b.column(k).to_numpy() for k in range(5)])
+            own = _mixed(lot[:, 0].view(np.uint64) + np.uint64(1), _SEEDS[1]) % np.uint64(blocks)
+            some = np.unique(own).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([lot[own == k].tobytes() for k in some], pa.binary())], names=["block", "lot"])
+
+    def match(batches):
+        lots, of, tasks = [], [], set()
+        for b in batches:
+            lots += [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 5) for x in b.column(2)]
+            of += b.column(1).to_pylist()
+            tasks |= set(b.column(0).to_pylist())
+        if not lots:
+            return
+        (task,) = tasks
+        apart = np.repeat(of, [len(x) for x in lots])
+        node = np.concatenate([x[:, 0] for x in lots])
+        fp = np.empty((len(node), 4), np.uint64, order="F")
+        for c in range(4):
+            fp[:, c] = np.concatenate([x[:, c + 1] for x in lots]).view(np.uint64)
+        lots.clear()
+        own = met[task // shares][0] == met[task // shares][1]
+        count = np.zeros(len(node), np.int64)
+        for i, j, a, b in masks.pairs(fp, None if own else apart, counted, range(task % shares, len(masks.masks), shares)):
+            if counted:
+                count += np.bincount(i, minlength=len(node)) + np.bincount(j, minlength=len(node))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int64())], names=["u", "v", "n"])
+        some = np.nonzero(count)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(count[some])], names=["u", "v", "n"])
+
+    dealt, _ = materialise(nodes.select("node", *"abcd").mapInArrow(deal, "block int, lot binary"), "simhash-dealt")
+    tasks_of = F.array(*(F.array(*(F.lit(m * shares + k) for m, pair in enumerate(met) if block in pair for k in range(shares))) for block in range(blocks)))
+    sent = dealt.select(F.explode(F.element_at(tasks_of, F.col("block") + 1)).alias("task"), "block", "lot").repartitionById(len(met) * shares, F.col("task"))
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "8"):
+        return materialise(sent.mapInArrow(match, "u long, v long, n long"), "simhash-found")[0]
+
+
 def _found(nodes: DataFrame, n: int, positions: int, max_bits: int, key_bytes: int | None, counted: bool, most_listed: int) -> DataFrame:
     """(u, v, n): edges (n null) that join all linked nodes, and if they are counted the links of u (v null)."""
     matches = positions - max_bits
@@ -361,12 +527,16 @@ def _found(nodes: DataFrame, n: int, positions: int, max_bits: int, key_bytes: i
     return listed.mapInArrow(match, "u long, v long, n long")
 
 
-def _groups(docs: DataFrame, positions: int, max_bits: int, key_bytes: int | None, counted: bool, most_listed: int) -> DataFrame:
+def _groups(docs: DataFrame, positions: int, max_bits: int, key_bytes: int | None, counted: bool, most_listed: int, many: int, together: int) -> DataFrame:
     """(id, th, root, n_links) of every row in a class of at least two."""
     signed, _ = materialise(_signed(docs), "simhash")
     nodes = signed.groupBy(*"abcd").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     nodes, _ = materialise(nodes, "simhash-nodes")  # written, so that the numbers stay
-    found, _ = materialise(_found(nodes, nodes.count(), positions, max_bits, key_bytes, counted, most_listed), "simhash-found")
+    n = nodes.count()
+    if key_bytes or n <= many:
+        found, _ = materialise(_found(nodes, n, positions, max_bits, key_bytes, counted, most_listed), "simhash-found")
+    else:
+        found = _found_under_masks(nodes, n, positions, max_bits, counted, together)
     roots = connected_components(found.where("n is null").select("u", "v"))
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     heads = roots.select("root").distinct().select(F.col("root").alias("node"), F.lit(True).alias("head"))
@@ -383,22 +553,22 @@ def _first(groups: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positions: int = POSITIONS,
-    max_bits: int = MAX_BITS, key_bytes: int | None = None, most_listed: int = MOST_LISTED,
+    max_bits: int = MAX_BITS, key_bytes: int | None = None, most_listed: int = MOST_LISTED, many: int = MANY, together: int = TOGETHER,
 ) -> DataFrame:
     """(id, class_id, n_links): each row of a class of at least two rows, with the least id of its class and the number of
     other fingerprints within max_bits of its own. Rows of one fingerprint are copies and no links; rows without any copy or link
     aren't listed. An id column of another of these names keeps its name, and the added one gets underscores."""
-    groups, _ = materialise(_groups(projected(docs, id=id_col, text=text_col), positions, max_bits, key_bytes, True, most_listed), "simhash-groups")
+    groups, _ = materialise(_groups(projected(docs, id=id_col, text=text_col), positions, max_bits, key_bytes, True, most_listed, many, together), "simhash-groups")
     names = [x + "_" * (x == id_col.lower()) for x in ("class_id", "n_links")]
     return groups.join(_first(groups), "root").select(F.col("id").alias(id_col), F.col("kept").alias(names[0]), F.col("n_links").alias(names[1]))
 
 
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positions: int = POSITIONS,
-    max_bits: int = MAX_BITS, key_bytes: int | None = None, most_listed: int = MOST_LISTED,
+    max_bits: int = MAX_BITS, key_bytes: int | None = None, most_listed: int = MOST_LISTED, many: int = MANY, together: int = TOGETHER,
 ) -> DataFrame:
     """The rows of docs with one of each class, all columns kept."""
-    groups, _ = materialise(_groups(projected(docs, id=id_col, text=text_col), positions, max_bits, key_bytes, False, most_listed), "simhash-groups")
+    groups, _ = materialise(_groups(projected(docs, id=id_col, text=text_col), positions, max_bits, key_bytes, False, most_listed, many, together), "simhash-groups")
     k_id, k_th, k_n = (fresh(docs.columns, x) for x in ("id", "th", "n"))
     first = _first(groups)
     joined = groups.join(first, "root").groupBy("id", "th", "kept", "kept_th").agg(F.count("*").alias("n"))

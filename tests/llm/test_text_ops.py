@@ -318,6 +318,76 @@ def test_every_pair_with_enough_matches_shares_a_key(positions, matches, key_byt
         assert any(shared >= k for k in keys)
 
 
+@pytest.mark.parametrize("max_bits", [0, 1, 9, 13, 24, 28])
+def test_a_mask_leaves_out_whatever_differs(max_bits):
+    rng = np.random.default_rng(max_bits)
+    masks = simhash.covering_masks(max_bits)
+    assert np.bitwise_count(masks).sum(1).min() >= 16
+    for k in range(600):
+        among = np.arange(256) if k % 2 else np.arange(256)[: max(max_bits, int(rng.integers(1, 256)))]  # also close together
+        bits = np.zeros(256, np.uint8)
+        bits[rng.choice(among, min(max_bits, len(among)), replace=False)] = 1
+        assert (np.packbits(bits, bitorder="little").view(np.uint64) & masks == 0).all(1).any()
+
+
+@pytest.mark.parametrize("given", [{}, {"together": 9}, {"max_bits": 13, "positions": 16}, {"max_bits": 20, "together": 25}])
+def test_many_fingerprints_meet_under_masks_as_all_pairs_do(spark, given):
+    rows = copies(30, 5, (0.01, 0.03, 0.06, 0.1))
+    want = near_brute(rows, given.get("max_bits", simhash.MAX_BITS))
+    assert found(simhash.near_duplicates(frame(spark, rows), many=0, **given)) == want
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows), many=0, **given).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, c, _ in want if i != c}
+    assert simhash.near_duplicates(empty(spark), many=-1).count() == 0
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_few_of_all_pairs_of_like_fingerprints_are_looked_at_under_masks(counted, monkeypatch):
+    """Texts of one language have many bits in common, so that the lists of two bytes are long."""
+    rng = np.random.default_rng(3)
+    n, looked = 2_000, []
+    bits = rng.random((n, 256)) < np.where(rng.random(256) < 0.5, 0.2, 0.8)
+    bits[1::20] = bits[::20] ^ (rng.random((n // 20, 256)) < 0.03)
+    fp = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    true = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda fp, i, *rest: looked.append(len(i)) or true(fp, i, *rest))
+    met = {frozenset(p) for i, j, *_ in simhash._Masks(32, 4, 28).pairs(fp, None, counted) for p in zip(i.tolist(), j.tolist())}
+    x = np.bitwise_count(fp[:, None, :] ^ fp).sum(2) <= 28
+    assert met == {frozenset(p) for p in np.argwhere(np.triu(x, 1)).tolist()} and len(met) > 80
+    under_masks = sum(looked)
+    looked.clear()
+    lists, raw = simhash._Lists(32, 4, 2, 28), fp.view(np.uint8).reshape(n, 32)
+    for p in lists.places:
+        order = np.argsort(raw[:, p], kind="stable")
+        for _ in lists.pairs(p, raw[order, p].astype(np.int64), fp[order], None, counted):
+            pass
+    assert 5 * under_masks < sum(looked)
+
+
+def test_linked_rows_take_their_whole_components_along():
+    rng = np.random.default_rng(4)
+    label = np.arange(300)
+    pairs = rng.integers(0, 300, (6, 40, 2))
+    for i, j in pairs.transpose(0, 2, 1):
+        simhash._link(label, i, j)
+    simhash._settle(label)
+    want = list(range(300))
+    for i, j in pairs.reshape(-1, 2):
+        low, high = sorted((want[i], want[j]))
+        want = [low if x == high else x for x in want]
+    assert label.tolist() == want
+
+
+def test_a_large_family_meets_under_masks_and_is_joined_soon():
+    rng = np.random.default_rng(2)
+    n = 100_000
+    fp = np.tile(rng.integers(0, 2**63, 4, dtype=np.int64).view(np.uint64), (n, 1))
+    for _ in range(12):
+        fp[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    began = time.time()
+    joined = sum(len(i) for i, *_ in simhash._Masks(32, 4, 28).pairs(fp, None, False, range(0, 283, 40)))
+    assert joined >= len(np.unique(fp, axis=0)) - 1 and time.time() - began < 60
+
+
 def test_a_large_family_of_near_equal_fingerprints_is_joined_soon():
     rng = np.random.default_rng(2)
     n = 200_000

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,23 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+#: Rows of whole texts that go to Python at once: a batch is held several times over, in the JVM and in the worker.
+TEXTS_A_BATCH = "1000"
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """For plans that send whole texts to Python and are run within."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_A_BATCH)
+
+
+def give_back() -> None:
+    """Returns to the system what this Python worker has freed. Workers stay after their tasks, and else keep it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 _scratch: list[list[str]] = []
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import finished, fresh, materialise, projected, scratch
+from .common import finished, fresh, give_back, materialise, projected, scratch, small_batches
 
 MAX_LABELLED = 4_000
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -146,6 +146,8 @@ def _scoring(docs: DataFrame, model: QualityModel, text_col: str, score_col: str
         for whole in batches:
             for b in slices(whole, at, 8_000_000):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b.column(at).to_pylist()))], names=schema.names)
+        whole = b = None
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -179,7 +181,8 @@ def filter_good(
     if model.curve is None:
         return docs
     own = fresh(docs.columns, "score")
-    scored, _ = materialise(_scoring(docs, model, text_col, own), "quality-scored")
+    with small_batches(docs.sparkSession):
+        scored, _ = materialise(_scoring(docs, model, text_col, own), "quality-scored")
     model = with_threshold(model, scored, own)
     return scored.where(F.col(own) >= F.lit(float(model.threshold))).drop(own)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices, span_hashes
-from .common import col, finished, fresh, materialise, projected, setting
+from .common import col, finished, fresh, give_back, materialise, projected, setting, small_batches
 from .components import connected_components
 
 POSITIONS, MAX_BITS, MOST_LISTED = 32, 28, 400_000
@@ -118,6 +118,8 @@ def _signed(docs: DataFrame) -> DataFrame:
                 longs = fp.view(np.int64)
                 keep = pa.array(some)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(longs[:, k]) for k in range(4))], names=["id", "th", *"abcd"]).filter(keep)
+        whole = b = None
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -433,6 +435,8 @@ def _found_under_masks(nodes: DataFrame, n: int, positions: int, max_bits: int,
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int64())], names=["u", "v", "n"])
         some = np.nonzero(count)[0]
         yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(count[some])], names=["u", "v", "n"])
+        del node, fp, apart, count, some
+        give_back()
 
     dealt, _ = materialise(nodes.select("node", *"abcd").mapInArrow(deal, "block int, lot binary"), "simhash-dealt")
     tasks_of = F.array(*(F.array(*(F.lit(m * shares + k) for m, pair in enumerate(met) if block in pair for k in range(shares))) for block in range(blocks)))
@@ -521,6 +525,8 @@ def _found(nodes: DataFrame, n: int, positions: int, max_bits: int, key_bytes: i
                     held, rows = t.slice(cut).to_batches(), len(keys) - cut
         if held:
             yield meet(pa.Table.from_batches(held).combine_chunks(), rows)
+        held, b, t = [], None, None
+        give_back()
 
     keyed = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), *_FP])
     listed = nodes.select("node", *"abcd").mapInArrow(index, keyed).repartition("key").sortWithinPartitions("key")
@@ -529,7 +535,8 @@ def _found(nodes: DataFrame, n: int, positions: int, max_bits: int, key_bytes: i
 
 def _groups(docs: DataFrame, positions: int, max_bits: int, key_bytes: int | None, counted: bool, most_listed: int, many: int, together: int) -> DataFrame:
     """(id, th, root, n_links) of every row in a class of at least two."""
-    signed, _ = materialise(_signed(docs), "simhash")
+    with small_batches(docs.sparkSession):
+        signed, _ = materialise(_signed(docs), "simhash")
     nodes = signed.groupBy(*"abcd").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     nodes, _ = materialise(nodes, "simhash-nodes")  # written, so that the numbers stay
     n = nodes.count()

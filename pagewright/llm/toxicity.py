@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import col, projected
+from .common import col, give_back, projected
 
 MAX_LABELLED = 6_000
 PREFIXES = (3, 4, 5, 6)
@@ -196,8 +196,11 @@ def _mapped(docs: DataFrame, text_col: str, model: ToxicityModel, schema: T.Stru
         model = shared.value
         scores = _Scores(model.weights)
         for whole in batches:
-            for b in slices(whole, at, 8_000_000):
+            for b in slices(whole, at):
                 yield from make(b, [located(t, scores, model.bias) for t in b.column(at).to_pylist()], model)
+        whole = b = None
+        scores.clear()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

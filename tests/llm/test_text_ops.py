@@ -417,6 +417,15 @@ def test_near_awkward_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_whole_texts_go_to_python_a_thousand_at_once(spark, monkeypatch):
+    sizes, true = [], simhash.materialise
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(simhash, "materialise", lambda df, tag: sizes.append((tag, spark.conf.get(key))) or true(df, tag))
+    before = spark.conf.get(key)
+    simhash.drop_near_duplicates(frame(spark, copies(3)))
+    assert ("simhash", "1000") in sizes and spark.conf.get(key) == before
+
+
 # -- line dedup
 
 

@@ -37,8 +37,8 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.removeprefix('file://').rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def _write(files: DataFrame, folder: str) -> list[str]:
-    """name and content (text or binary) as files of a folder; their paths, in order."""
+def _write(files: DataFrame, folder: str) -> DataFrame:
+    """name and content (text or binary) as files of a folder; their paths, as a table (source) beside it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -48,9 +48,11 @@ def _write(files: DataFrame, folder: str) -> list[str]:
             for name, content in zip(b["name"], b["content"]):
                 with open(f"{folder}/{name}", "wb") as f:
                     f.write(content.encode() if isinstance(content, str) else content)
-            yield pd.DataFrame({"name": b["name"]})
+            yield pd.DataFrame({"source": folder + "/" + b["name"]})
 
-    return sorted(f"{folder}/{r.name}" for r in files.select("name", "content").mapInPandas(run, "name string").collect())
+    names = f"file://{folder}-names"
+    files.select("name", "content").mapInPandas(run, "source string").write.parquet(names)
+    return files.sparkSession.read.schema("source string").parquet(names)
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -144,9 +146,9 @@ def batch_files(spark: SparkSession, d: str) -> DataFrame:
     """A batch over all documents as files, every fifth of a kind that can't be read, the outputs of the labelled ones being there."""
     folder = work_folder(spark)
     name = F.concat(F.lit("doc-"), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, ".html").otherwise(".md"))
-    paths = _write(_t(spark, d, "documents").where("text is not null").select(name.alias("name"), F.col("text").alias("content")), f"{folder}/in")
+    paths = [r.source for r in _write(_t(spark, d, "documents").where("text is not null").select(name.alias("name"), F.col("text").alias("content")), f"{folder}/in").collect()]
     _write(_t(spark, d, "labels").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".md")).alias("name"), F.lit("there").alias("content")), f"{folder}/out")
-    items, _ = run_batch(spark, [paths], f"{folder}/out", skip_existing=True)
+    items, _ = run_batch(spark, paths, f"{folder}/out", skip_existing=True)
     output = F.regexp_extract("output_path", "([^/]*)$", 1)
     measures = (F.coalesce(F.col(f"metrics.{m}").cast("long"), F.lit(0)).alias(n) for m, n in (("page_count", "pages"), ("markdown_chars", "markdown_chars"), ("output_bytes", "output_bytes")))
     return items.select(_id("source").alias("doc_id"), "status", F.coalesce("error_type", F.lit("")).alias("error_type"), F.coalesce(output, F.lit("")).alias("output"), *measures)

@@ -1,7 +1,7 @@
 """The readers: files to pages, an error being a row and not the end of the job.
 
-Python only turns bytes into text, blocks and cells; all Markdown is rendered by Catalyst. A row of what Python gives is a page already, so
-that nothing is shuffled and each file is unpacked once.
+Python only turns bytes into text, blocks and cells; all Markdown is rendered by Catalyst. A row of what Python gives is a file with its pages, so
+that no text is shuffled, neither for pages nor for documents, and each file is read and unpacked once, by an executor.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import importlib
 import io
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -19,16 +19,18 @@ from pyspark.sql import functions as F
 from ..functions import render as M
 from ..functions import text as T
 from ..operators.assemble import joined
-from .files import read_files
+from .files import locate, read_bytes
 from .office import docx_blocks, xlsx_sheets
 
 _TABLE = "array<array<string>>"
-#: A page as the readers give it: text, cells of a sheet (with its name) or blocks; of a file that can't be read one row without a number.
-_PARTS = (
-    f"source string, filename string, extension string, page_number int, kind string, text string, name string, rows {_TABLE}, tables array<{_TABLE}>, "
-    f"blocks array<struct<kind:string,style:string,text:string,rows:{_TABLE}>>, error_class string, error_message string, seconds double"
-)
-_BLANK = dict.fromkeys(("page_number", "kind", "text", "name", "rows", "tables", "blocks", "error_class", "error_message"))
+#: A page as the readers give it: text, cells of a sheet (with its name) or blocks.
+_PART = f"struct<page_number:int,kind:string,text:string,name:string,rows:{_TABLE},tables:array<{_TABLE}>,blocks:array<struct<kind:string,style:string,text:string,rows:{_TABLE}>>>"
+#: A file with its pages; one that can't be read has none.
+_FILE = f"source string, filename string, extension string, parts array<{_PART}>, error_class string, error_message string, seconds double"
+_BLANK = dict.fromkeys(("page_number", "kind", "text", "name", "rows", "tables", "blocks"))
+_NAMES = ["source", "filename", "extension", "parts", "error_class", "error_message", "seconds"]
+#: Files go back to Spark by so many bytes or files at a time.
+_BYTES, _FILES = 4 << 20, 256
 
 
 def cell_texts(values: list) -> list[str]:
@@ -127,43 +129,68 @@ def _parts(files: DataFrame, engine: str) -> DataFrame:
     readers = {"text": _text, "docx": _docx, "excel": _excel, "csv": _csv, "pdf": lambda raw: _checked(engine, run_engine(raw))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for batch in batches:
-            for source, filename, extension, family, raw in batch.itertuples(index=False):
-                about, out, began = {"source": source, "filename": filename, "extension": extension}, [], time.perf_counter()
+            for source, full, filename, extension, family, raw in batch.itertuples(index=False):
+                parts, error, began = [], (None, None), time.perf_counter()
                 try:
                     if family is None:
                         raise ValueError(f"Unsupported file extension: {extension}")
-                    out = [_BLANK | part | about | {"page_number": k + 1} for k, part in enumerate(readers[family](raw))]
+                    raw = read_bytes(full) if raw is None else raw
+                    held += len(raw)
+                    parts = [_BLANK | part | {"page_number": k + 1} for k, part in enumerate(readers[family](raw))]
                 except Exception as e:  # a file that can't be read is a failed row
-                    out = [_BLANK | about | {"error_class": type(e).__name__, "error_message": str(e)}]
-                seconds = time.perf_counter() - began
-                if out:
-                    yield pd.DataFrame([row | {"seconds": seconds} for row in out])
+                    parts, error = [], (type(e).__name__, str(e))
+                if parts or error[0]:
+                    out.append((source, filename, extension, parts, *error, time.perf_counter() - began))
+                if held >= _BYTES or len(out) >= _FILES:
+                    yield pd.DataFrame(out, columns=_NAMES)
+                    out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=_NAMES)
 
-    return files.select("source", "filename", "extension", "family", "content").mapInPandas(run, _PARTS)
+    return files.mapInPandas(run, _FILE)
 
 
-def _markdown() -> Column:
+def _markdown(part: Column) -> Column:
     block = lambda b: F.when(b["kind"] == "table", M.table(b["rows"])).when(b["kind"] == "paragraph", M.block(b["style"], b["text"]))
-    blocks = F.filter(F.transform("blocks", block), lambda x: x.isNotNull())
-    kind = F.col("kind")
+    blocks = F.filter(F.transform(part["blocks"], block), lambda x: x.isNotNull())
+    kind = part["kind"]
     return (
-        F.when(kind == "text", T.unify_newlines(F.col("text")))
+        F.when(kind == "text", T.unify_newlines(part["text"]))
         .when(kind == "docx", F.array_join(F.transform(blocks, lambda x: F.concat(x, F.lit("\n"))), "\n"))
-        .when(kind == "page", M.page(F.col("text"), F.col("tables")))
-        .when(kind == "csv", M.table(F.col("rows")))
-        .when(kind == "sheet", M.sheet(F.col("name"), F.coalesce(M.table(F.col("rows")), F.lit(""))))
+        .when(kind == "page", M.page(part["text"], part["tables"]))
+        .when(kind == "csv", M.table(part["rows"]))
+        .when(kind == "sheet", M.sheet(part["name"], F.coalesce(M.table(part["rows"]), F.lit(""))))
     )
 
 
-def read_pages(spark: SparkSession, paths: list[str], engine: str = "simple") -> DataFrame:
-    """source, filename, extension, page_number, markdown_content, plain_text, tables, error_class, error_message and seconds (what reading the
-    file took) of every page of every file. A file that can't be read has one row without page. A path that is given twice is read once."""
+def unpack(spark: SparkSession, paths: Iterable[str] | DataFrame, engine: str = "simple") -> DataFrame:
+    """A row for each file: source, filename, extension, pages (page_number, markdown_content, plain_text, tables; in order), error_class,
+    error_message and seconds. A path that is given twice is read once; what paths may be is said at locate."""
     if engine not in ENGINES:
         raise ValueError(f"Unknown PDF engine: {engine}. Available engines: {sorted(ENGINES)}")
-    parts = _parts(read_files(spark, dict.fromkeys(paths)), engine)
-    plain = F.when(F.col("kind") == "page", F.col("text")).when(F.col("kind").isNotNull(), F.lit(""))
-    return parts.select("source", "filename", "extension", "page_number", _markdown().alias("markdown_content"), plain.alias("plain_text"), "tables", "error_class", "error_message", "seconds")
+    once = paths.select("source").distinct() if isinstance(paths, DataFrame) else dict.fromkeys(paths)
+    plain = lambda p: F.when(p["kind"] == "page", p["text"]).otherwise(F.lit(""))
+    page = lambda p: F.struct(p["page_number"].alias("page_number"), _markdown(p).alias("markdown_content"), plain(p).alias("plain_text"), p["tables"].alias("tables"))
+    return _parts(locate(spark, once), engine).select("source", "filename", "extension", F.transform("parts", page).alias("pages"), "error_class", "error_message", "seconds")
+
+
+def read_pages(spark: SparkSession, paths: Iterable[str] | DataFrame, engine: str = "simple") -> DataFrame:
+    """source, filename, extension, page_number, markdown_content, plain_text, tables, error_class, error_message and seconds (what reading the
+    file took) of every page of every file. A file that can't be read has one row without page. A path that is given twice is read once."""
+    rows = unpack(spark, paths, engine).select("source", "filename", "extension", F.explode_outer("pages").alias("p"), "error_class", "error_message", "seconds")
+    return rows.select("source", "filename", "extension", "p.page_number", "p.markdown_content", "p.plain_text", "p.tables", "error_class", "error_message", "seconds")
+
+
+def _page(number: Column, markdown: Column, plain: Column, tables: Column, engine: str) -> Column:
+    tables = F.transform(F.coalesce(tables, F.array().cast(f"array<{_TABLE}>")), lambda t: F.struct(t.alias("rows")))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    no_map = F.create_map().cast("map<string,string>")
+    return F.struct(
+        number.alias("page_number"), markdown.alias("markdown_content"), plain.alias("plain_text"), none("struct<kind:string,text:string,bbox:array<double>>").alias("elements"), tables.alias("tables"),
+        none("map<string,string>").alias("images"), F.when(F.col("extension") == ".pdf", F.create_map(F.lit("engine_name"), F.lit(engine))).otherwise(no_map).alias("metadata"),
+    )
 
 
 def as_documents(pages: DataFrame, engine: str = "simple") -> DataFrame:
@@ -171,13 +198,7 @@ def as_documents(pages: DataFrame, engine: str = "simple") -> DataFrame:
     array of structs) and the error of each file."""
     plain, ok = F.col("extension").isin(".md", ".txt"), F.max("error_class").isNull()
     number, markdown = F.col("page_number"), F.col("markdown_content")
-    tables = F.transform(F.coalesce("tables", F.array().cast(f"array<{_TABLE}>")), lambda t: F.struct(t.alias("rows")))
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    no_map = F.create_map().cast("map<string,string>")
-    page = F.struct(
-        number, markdown, F.col("plain_text"), none("struct<kind:string,text:string,bbox:array<double>>").alias("elements"), tables.alias("tables"), none("map<string,string>").alias("images"),
-        F.when(F.col("extension") == ".pdf", F.create_map(F.lit("engine_name"), F.lit(engine))).otherwise(no_map).alias("metadata"),
-    )
+    page = _page(number, markdown, F.col("plain_text"), F.col("tables"), engine)
     listed = F.transform(F.array_sort(F.collect_list(F.when(number.isNotNull(), F.struct(number.alias("o"), page.alias("p")))), lambda a, b: F.when(a["o"] < b["o"], -1).otherwise(1)), lambda r: r["p"])
     return pages.groupBy("source", "filename", "extension").agg(
         F.lit(engine).alias("engine"), F.when(ok, F.when(F.first(plain), F.first(markdown)).otherwise(joined(number, M.marked_page(number, markdown)))).alias("content"),
@@ -185,6 +206,22 @@ def as_documents(pages: DataFrame, engine: str = "simple") -> DataFrame:
     )
 
 
-def read_documents(spark: SparkSession, paths: list[str], engine: str = "simple") -> DataFrame:
+def joined_pages(pages: Column) -> Column:
+    """The Markdown of a file's pages, which are in order."""
+    return F.array_join(F.transform(pages, lambda p: F.coalesce(p["markdown_content"], F.lit(""))), "\n")
+
+
+def documents_of(files: DataFrame, engine: str = "simple") -> DataFrame:
+    """What as_documents gives, of the rows that unpack gives: nothing moves."""
+    plain, ok, pages = F.col("extension").isin(".md", ".txt"), F.col("error_class").isNull(), F.col("pages")
+    marked = F.array_join(F.transform(pages, lambda p: M.marked_page(p["page_number"], p["markdown_content"])), "\n")
+    listed = F.transform(pages, lambda p: _page(p["page_number"], p["markdown_content"], p["plain_text"], p["tables"], engine))
+    return files.select(
+        "source", "filename", "extension", F.lit(engine).alias("engine"), F.when(ok, F.when(plain, F.get(pages, 0)["markdown_content"]).otherwise(marked)).alias("content"),
+        F.when(ok, joined_pages(pages)).alias("markdown_content"), listed.alias("pages"), "error_class", "error_message",
+    )
+
+
+def read_documents(spark: SparkSession, paths: Iterable[str] | DataFrame, engine: str = "simple") -> DataFrame:
     """Each file as as_documents gives it."""
-    return as_documents(read_pages(spark, paths, engine), engine)
+    return documents_of(unpack(spark, paths, engine), engine)

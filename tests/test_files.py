@@ -113,6 +113,34 @@ def test_each_file_is_unpacked_once(spark, folder, tmp_path):
     assert [p["page_number"] for p in book["pages"]] == [1, 2] and book["pages"][0]["tables"] == [] and book["filename"] == "c.XLSX" and book["metadata"] == {}
 
 
+def test_files_of_a_table_are_read_by_the_executors_many_a_task(spark, tmp_path):
+    for k in range(1200):
+        (tmp_path / f"{k}.md").write_bytes(b"a\r\n%d" % k if k else b"")
+    paths = [str(tmp_path / f"{k}.md") for k in range(1200)]
+    table = spark.createDataFrame([(p,) for p in [*paths, paths[5], str(tmp_path / "none.md"), str(tmp_path)]], "source string")
+    docs = pagewright.read_documents(spark, table)
+    lines = docs._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    above = lines[: next(i for i, x in enumerate(lines) if "MapInPandas" in x)]
+    assert not any(word in x for x in above for word in ("Aggregate", "Join", "Repartition", "Sort")) and docs.rdd.getNumPartitions() <= 16
+    got = {r.source: r for r in docs.collect()}
+    assert len(got) == 1202 and all(got[p].content == (f"a\n{k}" if k else "") for k, p in enumerate(paths))
+    assert got[str(tmp_path / "none.md")].error_class == "FileNotFoundError" and got[str(tmp_path)].error_class == "ValueError"
+    listed = pagewright.read_documents(spark, paths)
+    assert listed.rdd.getNumPartitions() <= 16 and sorted(map(str, listed.select("source", "content", "pages").collect())) == sorted(str(r) for r in docs.where("error_class is null").select("source", "content", "pages").collect())
+    assert {r.source: bytes(r.content) for r in pagewright.read_files(spark, paths[:3]).collect()} == {paths[0]: b"", paths[1]: b"a\r\n1", paths[2]: b"a\r\n2"}
+    with pytest.raises(FileNotFoundError):
+        pagewright.read_documents(spark, [str(tmp_path / "none.md")])
+
+
+def test_documents_of_files_are_those_of_their_pages(spark, folder):
+    from pagewright.sources.readers import as_documents
+
+    paths = [str(f) for f in sorted(folder.iterdir())]
+    by_page = as_documents(pagewright.read_pages(spark, paths)).collect()
+    by_file = pagewright.read_documents(spark, paths).collect()
+    assert len(by_file) == 8 and {r.source: r.asDict(True) for r in by_file} == {r.source: r.asDict(True) for r in by_page}
+
+
 def test_engines(spark, folder):
     with pytest.raises(ValueError, match="Unknown PDF engine"):
         pagewright.read_documents(spark, [str(folder / "h.pdf")], "other")

@@ -6,8 +6,10 @@ import os
 import shutil
 import time
 import uuid
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from ..functions.errors import classify
 from ..sources import sinks
 from ..sources.files import expand_inputs
 from ..sources.manifest import read_manifest
-from ..sources.readers import as_documents, read_pages
-from .metrics import document_metrics
+from ..sources.readers import documents_of, joined_pages, unpack
+from .metrics import measures
 from .quality import quality_checks
 from .summary import batch_summary, benchmark_summary
 
@@ -36,31 +38,32 @@ def run_batch(
     """Items in order of source, and the summary; both are also written to output_dir. Each file's output is named by its
     stem, so that equal stems overwrite each other. A file that can't be read or written is a failed item, or with
     fail_fast an error. A file's seconds are those of its own reading, and a share of what the batch spends on all of them together. Output
-    files that exist are skipped by a join of the names.
+    files that exist are skipped.
 
-    Every file is unpacked once, to a table of pages below output_dir from which outputs, failures and metrics come; it is deleted at the
-    end. The items that are returned are read from what was written."""
-    sources = expand_inputs(inputs, sort=True)
+    inputs may be a table of paths (source) that all executors see, instead of lists: it never comes to the driver, must hold files only, and
+    one that isn't there is a failed item.
+
+    Every file is unpacked once, to a table of files with their pages below output_dir from which outputs, failures and metrics come; it is deleted at
+    the end. The items that are returned are read from what was written. Names and measures move, texts don't."""
+    listed = inputs.select("source") if isinstance(inputs, DataFrame) else spark.createDataFrame([(s,) for s in expand_inputs(inputs, sort=True)], "source string")
     os.makedirs(output_dir, exist_ok=True)
     began, started = time.perf_counter(), datetime.now(UTC).isoformat()
     base = "file://" + os.path.abspath(output_dir)
     work = f"{base}/.batch-{uuid.uuid4().hex}"
-    listed = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "pos int, source string").withColumn("name", P.output_name(F.col("source"), fmt))
-    there = spark.createDataFrame([(n,) for n in os.listdir(output_dir)] if skip_existing else [], "name string")
-    state = with_todo(listed, there)
-    paths = [r.source for r in state.where("todo").select("source").distinct().collect()]  # what the reader is told to open
     try:
-        pages = _kept(read_pages(spark, paths, engine), f"{work}/pages")
-        docs = sinks.rendered(as_documents(pages, engine), fmt).withColumn("name", P.output_name(F.col("source"), fmt))
+        listed = listed.withColumn("name", P.output_name(F.col("source"), fmt))
+        state = _kept(_with_existing(listed, output_dir) if skip_existing else listed.withColumn("todo", F.lit(True)), f"{work}/state")  # before anything is written
+        files = _kept(unpack(spark, state.where("todo").select("source"), engine), f"{work}/files")
+        docs = sinks.rendered(documents_of(files, engine), fmt).withColumn("name", P.output_name(F.col("source"), fmt))
         written = sinks.write_documents(docs.where("error_class is null").select("source", "name", "output"), output_dir, "name", keep="source")
         failures = _kept(docs.where("error_class is not null").select("source", "error_class", "error_message").unionByName(
             written.where("error_class is not null").select("source", "error_class", "error_message")), f"{work}/failures")
         first = failures.orderBy("source").first() if fail_fast else None
         if first:
             raise RuntimeError(f"{first.source}: {first.error_class}: {first.error_message}")
-        seconds = pages.groupBy("source").agg(F.max("seconds").alias("own"))
-        share = max(time.perf_counter() - began - (seconds.agg(F.sum("own")).first()[0] or 0.0) / spark.sparkContext.defaultParallelism, 0.0) / max(len(paths), 1)
-        measured = document_metrics(pages.where("page_number is not null"), ["source"], seconds.select("source", (F.col("own") + share).alias("elapsed_seconds")))
+        own, n = files.agg(F.coalesce(F.sum("seconds"), F.lit(0.0)), F.count("*")).first()
+        share = max(time.perf_counter() - began - own / spark.sparkContext.defaultParallelism, 0.0) / max(n, 1)
+        measured = measures(_unmeasured(files.where("error_class is null"), share), ["source"])
         metrics = measured.select("source", F.struct(*(c for c in measured.columns if c != "source")).alias("metrics"))
         finished = datetime.now(UTC).isoformat()
         state = state.join(failures, "source", "left").join(metrics, "source", "left")
@@ -80,6 +83,27 @@ def run_batch(
     return items, summary
 
 
+def _with_existing(listed: DataFrame, folder: str) -> DataFrame:
+    """listed (source, name) with todo: whether the folder has nothing of that name. The executors look."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(todo=[not os.path.lexists(os.path.join(folder, n)) for n in b["name"]])
+
+    folder = os.path.abspath(folder)
+    return listed.select("source", "name").mapInPandas(run, "source string, name string, todo boolean")
+
+
+def _unmeasured(files: DataFrame, share: float) -> DataFrame:
+    """What document_metrics gathers of pages, of rows that hold all pages of a file."""
+    tables = F.aggregate("pages", F.lit(0).cast("long"), lambda n, p: n + F.when(p["tables"].isNotNull(), F.size(p["tables"])).otherwise(0))
+    none = (F.lit(0).cast("long").alias(c) for c in ("image_count", "caption_count", "ocr_text_chars", "reading_order_warnings", "header_footer_removed_count"))
+    return files.select(
+        "source", (F.col("seconds") + share).alias("elapsed_seconds"), F.size("pages").alias("page_count"), joined_pages(F.col("pages")).alias("_md"), tables.alias("_tables"),
+        F.lit(False).alias("ocr_applied"), F.lit(False).alias("multi_column_detected"), *none,
+    )
+
+
 def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,6 +28,11 @@ def document_metrics(pages: DataFrame, keys: list[str], elapsed: DataFrame | Non
         flag("ocr_applied"), total("ocr_text_chars"), flag("multi_column_detected"), total("reading_order_warnings"), total("header_footer_removed_count"),
     )
     docs = docs.join(elapsed, keys, "left") if elapsed is not None else docs.withColumn("elapsed_seconds", F.lit(0.0))
+    return measures(docs, keys)
+
+
+def measures(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """A row of 17 measures of each document's row: its counts, its Markdown (_md) and its own tables (_tables)."""
     seconds = F.coalesce("elapsed_seconds", F.lit(0.0))
     return docs.select(
         *keys, F.bround(seconds, 4).alias("elapsed_seconds"), "page_count", rate(F.col("page_count"), seconds).alias("pages_per_second"), utf8_bytes(F.col("_md")).alias("output_bytes"),

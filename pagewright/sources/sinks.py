@@ -28,12 +28,15 @@ def write_documents(docs: DataFrame, folder: str, name: str = "output_path", tex
     error_message), and first the string column that is to be kept. The rows are written when the result is evaluated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = set()
         for b in batches:
             rows = []
             for n, t, k in zip(b["name"], b["text"], b["kept"]):
                 path, failed = os.path.join(folder, n), (None, None)
                 try:
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    if (parent := os.path.dirname(path)) not in made:
+                        os.makedirs(parent, exist_ok=True)
+                        made.add(parent)
                     with open(path, "w", encoding="utf-8", newline="") as f:
                         f.write(t)
                 except OSError as e:

@@ -168,6 +168,18 @@ def test_batch(spark, folder, tmp_path):
         pagewright.run_batch(spark, paths, str(out), fail_fast=True)
 
 
+def test_batch_of_a_table_of_paths(spark, folder, tmp_path):
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "a.md").write_text("old")
+    paths = [str(folder / n) for n in ("a.md", "b.docx", "c.XLSX", "e.html", "none.md")]
+    items, summary = pagewright.run_batch(spark, spark.createDataFrame([(p,) for p in paths], "source string"), str(out), skip_existing=True)
+    rows = items.collect()
+    assert [(r.source, r.status, r.error_type) for r in rows] == list(zip(paths, ("skipped", "success", "success", "failed", "failed"), (None, None, None, "unsupported_format", "file_not_found")))
+    assert (rows[1].metrics.table_count, rows[2].metrics.table_count, rows[2].metrics.page_count) == (1, 2, 2) and rows[2].metrics.elapsed_seconds > 0
+    assert sorted(x.name for x in out.iterdir()) == ["a.md", "b.md", "batch-results.jsonl", "batch-summary.json", "c.md"] and summary["total_pages"] == 3
+
+
 def test_benchmark(spark, folder, tmp_path):
     manifest = tmp_path / "m.json"
     listed = [{"id": "s", "path": str(folder / "b.docx"), "checks": {"min_tables": 1, "min_pages": 2, "unknown": 1}}, {"id": "t", "path": str(folder / "e.html")}]

@@ -135,3 +135,18 @@ def test_markers_around_and_within_whole_documents(spark):
         assert "<!--" not in r.text and r.markers == [n + 3, n + 1, n + 3, 9]
         assert r.clean == (r.text * 2).strip()
         assert pages[r.doc_id] >= {n + 3, n + 1, 9}
+
+
+def test_lists_at_the_first_levels_are_found_by_compiled_code(spark):
+    elements = [{"page_idx": (7 * k) % 5 - 1, "text": f"t{k}" if k % 3 else "", "type": "x" if k % 2 else None, "bbox": [k, 1]} for k in range(40)]
+    reply = json.dumps({"md": "whole", "result": {"result": {"content_list": elements}}})
+    pages = reply_pages(spark.createDataFrame([(1, reply), (2, '{"md": "whole"}'), (3, "no")], "doc_id int, reply string"), ["doc_id"])
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.result.content_list[0]" in plan
+    got = {(r.doc_id, r.page_number): (r.markdown_content, r.plain_text, [(e.kind, e.text, e.bbox) for e in r.elements]) for r in pages.collect()}
+    want = {(2, 1): ("whole", "", []), (3, 1): ("", "", [])}
+    for p in range(-1, 4):
+        own = [e for e in elements if e["page_idx"] == p]
+        text = "\n".join(e["text"] for e in own if e["text"])
+        want[1, p + 1] = (text, text, [(e["type"] or "text", e["text"], [float(x) for x in e["bbox"]]) for e in own])
+    assert got == want
